@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, lines, quality, sentencepieces, simhash, tiff, toxicity, warc
+from . import langid, lines, neighbours, packing, quality, sentencepieces, simhash, tiff, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,10 @@ def op4_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.store_and_read(table(spark, sf_dir, "documents"))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score_documents(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
@@ -40,6 +44,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.learn(docs))
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score_documents(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
@@ -50,7 +58,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_warc, op2_simhash_near_dedup, op3_sentencepiece, op4_media_tiff, op6_quality, op7_language_id, op9_toxicity, op10_line_dedup)
+    found = (op1_warc, op2_simhash_near_dedup, op3_sentencepiece, op4_media_tiff, op5_best_fit_packing, op6_quality, op7_language_id, op8_nearest_neighbours, op9_toxicity, op10_line_dedup)
     return {f.__name__: f for f in found}
 
 
