@@ -4,9 +4,36 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the executors, once for each application, as they need not have it installed."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent.parent
+    target = Path(tempfile.mkdtemp(prefix="kinloom-")) / "kinloom.zip"
+    with zipfile.ZipFile(target, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, Path(package.name) / file.relative_to(package))
+    context.addPyFile(str(target))
+    _shipped.add(context.applicationId)
+
+
+def arrow_map(df: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
+    """`df.mapInArrow`, on executors that have this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
