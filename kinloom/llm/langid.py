@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fold
+from .common import arrow_map, bounded_sample, fold
 from .textparts import parts
 
 FOLDS, HELD_OUT = 3, 1
@@ -155,7 +155,7 @@ def identify(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colu
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(language, pa.string()), pa.array(score, pa.float64()), pa.array(rejected)], names=["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), (fold(id_column, FOLDS) == HELD_OUT).alias("held_out"), F.col(text_column).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    return arrow_map(rows, run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
 def keep_identified(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
@@ -168,4 +168,4 @@ def keep_identified(docs: DataFrame, model: Model, text_column: str = "text") ->
             texts = [None if t is None else str(t) for t in batch.column(place).to_pylist()]
             yield batch.filter(pa.array(~shared.value.predict(texts)[2]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)

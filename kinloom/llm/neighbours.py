@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import arrow_map, written
 
 SAMPLE_ROWS = 6_000
 PARTITION_ROWS = 3_000
@@ -189,7 +189,7 @@ def search(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "
             probes = [order[i, : asks[i]].tolist() if ids[i] % every == 0 else [] for i in range(len(ids))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(order[:, 0].astype(np.int32)), pa.array(probes, pa.list_(pa.int32()))], names=["vec_id", "embedding", "part", "probes"])
 
-    routed = written(rows.select("vec_id", "embedding").mapInArrow(route, "vec_id long, embedding array<double>, part int, probes array<int>"), "routed")
+    routed = written(arrow_map(rows.select("vec_id", "embedding"), route, "vec_id long, embedding array<double>, part int, probes array<int>"), "routed")
     asked = routed.where(F.size("probes") > 0)
     held = {r[0]: r[1] for r in routed.groupBy("part").count().collect()}  # `MOST_PARTITIONS` rows at most
     asks = {r[0]: r[1] for r in asked.select(F.explode("probes").alias("part")).groupBy("part").count().collect()}

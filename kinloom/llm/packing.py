@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import written
+from .common import arrow_map, written
 from .ragged import runs
 
 CAPACITY = 2048
@@ -123,7 +123,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, id_column: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=False)], names=names)
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return rows.mapInArrow(run, schema)
+    return arrow_map(rows, run, schema)
 
 
 def patterns(present: np.ndarray, capacity: int) -> np.ndarray:
@@ -254,7 +254,7 @@ def pack(docs: DataFrame, tokenizer_file: str, id_column: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(bucket.astype(np.int32))], names=[*batch.schema.names[:-1], "bucket"])
 
     mixed = cuts.withColumn("mix", F.xxhash64("doc_id", "piece", "ids_crc32"))
-    dealt = mixed.mapInArrow(deal, "doc_id long, piece int, start long, length long, ids_crc32 long, bucket int")
+    dealt = arrow_map(mixed, deal, "doc_id long, piece int, start long, length long, ids_crc32 long, bucket int")
     sizes = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
@@ -270,4 +270,4 @@ def pack(docs: DataFrame, tokenizer_file: str, id_column: str = "doc_id", text_c
             sequence = table["sequence"][at] + key - table["key"][at]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequence), pa.array(table["offset"][at])], names=[*batch.schema.names[:-1], "sequence_id", "offset"])
 
-    return numbered.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return arrow_map(numbered, place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

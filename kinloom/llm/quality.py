@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fold
+from .common import arrow_map, bounded_sample, fold
 from .textparts import joined, parts, word_bounds, word_hashes
 
 FOLDS, HELD_OUT = 5, 0
@@ -211,7 +211,7 @@ def score_documents(docs: DataFrame, model: Model, id_column: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared.value.scores(batch.column(2).to_pylist()), pa.float64())], names=["doc_id", "held_out", "score"])
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), (fold(id_column, FOLDS) == HELD_OUT).alias("held_out"), F.col(text_column).cast("string").alias("text"))
-    scored = rows.mapInArrow(run, "doc_id long, held_out boolean, score double")
+    scored = arrow_map(rows, run, "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= REJECT_BELOW).cast("int"))
 
 
@@ -225,4 +225,4 @@ def keep_good(docs: DataFrame, model: Model, text_column: str = "text", reject_b
             texts = [None if t is None else str(t) for t in batch.column(place).to_pylist()]
             yield batch.filter(pa.array(shared.value.scores(texts) >= reject_below))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)

@@ -24,6 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrow_map
 from .ragged import runs
 
 SPACE = "▁"
@@ -449,4 +450,4 @@ def encode_documents(docs: DataFrame, model_file: str, id_column: str = "doc_id"
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(rows, kinds, strict=False))], names=names[: len(rows) + 1])
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return rows.mapInArrow(run, schema)
+    return arrow_map(rows, run, schema)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import arrow_map, written
 from .components import components
 
 SEED = 42
@@ -84,7 +84,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return arrow_map(rows, run, "doc_id long, fp long")
 
 
 def grid_points(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,9 +188,9 @@ def _links(distinct: DataFrame, point_rows: int) -> DataFrame:
                     held = held[:0]
         yield from close()
 
-    points = distinct.select("fp").mapInArrow(spread, "point long, fp long")
+    points = arrow_map(distinct.select("fp"), spread, "point long, fp long")
     sorted_points = points.repartition("point").sortWithinPartitions("point")
-    found = written(sorted_points.mapInArrow(meet, "kind int, a long, b long"), "links")
+    found = written(arrow_map(sorted_points, meet, "kind int, a long, b long"), "links")
     links = found.where("kind = 0").select(F.col("a").alias("u"), F.col("b").alias("v"))
     aside = found.where("kind = 1").select(F.col("a").alias("point"), F.col("b").alias("fp"))
     if aside.isEmpty():

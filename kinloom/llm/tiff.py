@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrow_map
+
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 WIDTH, SAMPLES = 64, 3
 ROW = WIDTH * SAMPLES
@@ -286,7 +288,7 @@ def store_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(map(len, texts)), pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return arrow_map(rows, run, "doc_id long, n_bytes long, media binary")
 
 
 def pages(media: DataFrame, with_pixels: bool = False) -> DataFrame:
@@ -319,7 +321,7 @@ def pages(media: DataFrame, with_pixels: bool = False) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+    return arrow_map(media.select("doc_id", "n_bytes", "media"), run, schema)
 
 
 def store_and_read(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fold
+from .common import arrow_map, bounded_sample, fold
 from .textparts import parts
 
 FOLDS, HELD_OUT = 3, 1
@@ -207,5 +207,5 @@ def score_documents(docs: DataFrame, model: Model, id_column: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "score"])
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), (fold(id_column, FOLDS) == HELD_OUT).alias("held_out"), F.col(text_column).cast("string").alias("text"))
-    scored = rows.mapInArrow(run, "doc_id long, held_out boolean, score double")
+    scored = arrow_map(rows, run, "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= TOXIC_FROM).cast("int"))

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, written
+from .common import arrow_map, fresh_path, written
 
 STEP = 1 << 16
 ARCHIVE_BYTES = 256 << 20
@@ -212,7 +212,7 @@ def write_archives(pages: DataFrame, directory: str, archive_bytes: int = ARCHIV
                 done.append((path, n, size))
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True) if done else [[]] * 3, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["path", "n_records", "n_bytes"])
 
-    return written(pages.select("page_id", "url", "payload", "refers_to").mapInArrow(run, "path string, n_records long, n_bytes long"), "archives")
+    return written(arrow_map(pages.select("page_id", "url", "payload", "refers_to"), run, "path string, n_records long, n_bytes long"), "archives")
 
 
 def read_archives(archives: DataFrame, with_payload: bool = False) -> DataFrame:
@@ -249,7 +249,7 @@ def read_archives(archives: DataFrame, with_payload: bool = False) -> DataFrame:
             yield out()
 
     # the table of paths is small and would be read by one task; one archive for each task reads them side by side
-    return archives.select("path").repartition(max(1, archives.count())).mapInArrow(run, schema)
+    return arrow_map(archives.select("path").repartition(max(1, archives.count())), run, schema)
 
 
 def with_revisits(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", least_bytes: int = 0) -> DataFrame:
