@@ -9,7 +9,7 @@ two words around a lexicon word that occur in clean texts and never in toxic one
 from __future__ import annotations
 
 import unicodedata
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -127,23 +127,33 @@ def _tail(hits: int, trials: int, share: float) -> float:
 
 def fit(texts: list[str], labels: list[int]) -> Model:
     """The model for labelled texts. With one label only there is no lexicon, and every text has the same low score."""
-    toxic, clean = [folded(t).split() for t, y in zip(texts, labels, strict=True) if y], [folded(t).split() for t, y in zip(texts, labels, strict=True) if not y]
-    contexts: dict[str, set[int]] = defaultdict(set)
-    for words in toxic:
-        for a, w, b in zip(["", *words], words, [*words[1:], ""], strict=False):
-            contexts[w].add(hash((a, b)))
+    one: dict[str, str] = {}  # each word is held once, however often it comes
+    toxic, clean = ([[one.setdefault(w, w) for w in folded(t).split()] for t, y in zip(texts, labels, strict=True) if bool(y) is kind] for kind in (True, False))
     with_word, benign = (Counter(w for words in several for w in set(words)) for several in (toxic, clean))
     if not toxic or not clean:
         return Model({}, [])
+
+    def odds(n: int, w: str) -> float:
+        return np.log((n + 0.5) / (len(toxic) + 1)) - np.log((benign[w] + 0.5) / (len(clean) + 1))
+
+    # contexts can only lower a word's number, so words that are too few without them need none
+    contexts: dict[str, set[int]] = {w: set() for w, n in with_word.items() if odds(n, w) > np.log(5)}
+    few: dict[str, set[int]] = {w: set() for w in with_word}
+    for words in toxic:
+        for a, w, b in zip(["", *words], words, [*words[1:], ""], strict=False):
+            if w in contexts:
+                contexts[w].add(hash((a, b)))
+            if len(few[w]) < 3:
+                few[w].add(hash((a, b)))
+    enough = sum(len(several) >= 3 for several in few.values())
     share = len(toxic) / (len(toxic) + len(clean))
-    candidates = [w for w in contexts if len(contexts[w]) >= 3]
-    limit = np.log(CHANCE / max(1, len(candidates)))
+    limit = np.log(CHANCE / max(1, enough))
     weights = {}
-    for w in candidates:
+    for w in (w for w in contexts if len(contexts[w]) >= 3):
         n = min(len(contexts[w]), with_word[w])
-        odds = np.log((n + 0.5) / (len(toxic) + 1)) - np.log((benign[w] + 0.5) / (len(clean) + 1))
-        if odds > np.log(5) and _tail(n, n + benign[w], share) <= limit:
-            weights[w] = float(min(odds, 8.0))
+        if odds(n, w) > np.log(5) and _tail(n, n + benign[w], share) <= limit:
+            weights[w] = float(min(odds(n, w), 8.0))
+    del few, contexts, one
     phrases, forbidden = Counter(), set()
     for of_toxic, several in ((True, toxic), (False, clean)):
         for words in several:
