@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from .common import arrow_map, written
 
 SAMPLE_ROWS = 6_000
-PARTITION_ROWS = 3_000
-MOST_PARTITIONS = 256
+PARTITION_ROWS = 300
+#: Bounds what a query gathers: at most `k` rows from each block of each partition, so more partitions would mean more rows to merge.
+MOST_PARTITIONS = 32
 GRAPH = 10
 HIDDEN = 96
 TARGET = 0.95
