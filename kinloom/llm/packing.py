@@ -9,9 +9,11 @@ length lies in one task), and their numbers say which place of the plan is their
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,8 @@ END_ID = 0
 BUCKET_ROWS, BUCKETS = 128, 4096
 SHORT = 96
 PART = 1 << 22
-KEPT_WORDS = 400_000
+KEPT_WORDS = 1_000_000
+LEARN_WORDS = 8_192
 MARK = "\x01"
 #: Texts with white space other than single spaces and line feeds inside are encoded whole.
 UNEVEN = r"[^\S \n]|[\x01\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]|^[ \n]|[ \n]$|[ \n][ \n]"
@@ -39,6 +42,7 @@ class TextEncoder:
     pattern always cuts, and pieces seen before are not encoded again."""
 
     def __init__(self, tokenizer_file: str, kept: int = KEPT_WORDS):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer, self.kept = Tokenizer.from_file(tokenizer_file), kept
         self._clear()
 
@@ -46,16 +50,24 @@ class TextEncoder:
         self.number: dict[str, int] = {}
         self.at, self.length, self.flat, self.used = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(1 << 16, np.uint32), 0
 
+    def _coded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each text, all ids)."""
+        sizes, flat = [np.empty(0, np.int64)], [np.empty(0, np.uint32)]
+        for at in range(0, len(texts), LEARN_WORDS):  # the library's results are large, so few are held at a time
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts[at : at + LEARN_WORDS], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+            flat.append(np.fromiter(chain.from_iterable(found), np.uint32, int(sizes[-1].sum())))
+        return np.concatenate(sizes), np.concatenate(flat)
+
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes, flat = self._coded(texts)
+        return np.split(flat, np.cumsum(sizes)[:-1]) if len(texts) else []
 
     def _learn(self, words: list[str]) -> None:
-        found = self._whole(words)
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        sizes, fresh = self._coded(words)
         self.number.update(zip(words, range(len(self.number), len(self.number) + len(words)), strict=True))
         self.at = np.concatenate((self.at, self.used + np.cumsum(sizes) - sizes))
         self.length = np.concatenate((self.length, sizes))
-        fresh = np.concatenate(found)
         if self.used + len(fresh) > len(self.flat):
             self.flat = np.concatenate((self.flat[: self.used], np.empty(self.used + 2 * len(fresh), np.uint32)))
         self.flat[self.used : self.used + len(fresh)] = fresh
