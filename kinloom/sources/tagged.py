@@ -67,9 +67,8 @@ def diagnostics_of(records: DataFrame) -> DataFrame:
     """SRC-03, SRC-16, FLT-13: (doc_id, line, severity, code, message) of every line with a fault and every clamped level."""
     flat = records.select("doc_id", F.explode("tags").alias("t")).where("t.code IS NOT NULL")
     faults = flat.select("doc_id", F.col("t.line_number").alias("line"), F.lit("ERROR").alias("severity"), "t.code", "t.message")
-    kept = records.select("doc_id", F.filter("tags", lambda t: t["level"].isNotNull()).alias("tags"))
-    moved = kept.select("doc_id", F.explode(F.arrays_zip("tags", clamp_levels(F.transform("tags", lambda t: t["level"])).alias("clamped"))).alias("z"))
-    jumps = moved.where("z.tags.level != z.clamped").select("doc_id", F.col("z.tags.line_number").alias("line"), F.lit("WARNING").alias("severity"), F.lit("BAD_LEVEL_JUMP").alias("code"), F.lit("level jumps by more than one").alias("message"))
+    at = records.select("doc_id", F.explode(level_jumps(F.filter("tags", lambda t: t["level"].isNotNull()))).alias("line"))
+    jumps = at.select("doc_id", "line", F.lit("WARNING").alias("severity"), F.lit("BAD_LEVEL_JUMP").alias("code"), F.lit("level jumps by more than one").alias("message"))
     return faults.unionByName(jumps)
 
 
@@ -90,6 +89,17 @@ def clamp_levels(levels: Column) -> Column:
     return F.aggregate(levels, start, step, lambda state: state["all"])
 
 
+def level_jumps(tags: Column) -> Column:
+    """SRC-39: the numbers of the lines whose level is clamped."""
+    start = F.struct(F.lit(0).alias("last"), F.array().cast("array<bigint>").alias("at"))
+
+    def step(state: Column, t: Column) -> Column:
+        jump = t["level"] > state["last"] + 1
+        return F.struct(F.least(t["level"], state["last"] + 1).alias("last"), F.when(jump, F.concat(state["at"], F.array(t["line_number"].cast("long")))).otherwise(state["at"]).alias("at"))
+
+    return F.aggregate(tags, start, step, lambda state: state["at"])
+
+
 def detect_version(records: DataFrame) -> DataFrame:
     """SRC-33: (doc_id, version): what HEAD's GEDC.VERS states if it is known, else by the tags that are used."""
     flat = lines_of(records)
