@@ -1,8 +1,8 @@
 """Tagged-line files as DataFrames: files to records to lines, headers, versions, indexes (SRC-01 to SRC-07, SRC-13 to SRC-39).
 
 A file arrives whole as one row, is decoded natively and cut into records by one regular expression, so records spread over the
-cluster before any line is lexed. Only the running line and byte counts need a file's records in order; that
-window sees one narrow row for each record, never the lines.
+cluster before any line is lexed. The running line and byte counts need the records of one file in order: one shuffle, in
+which a file, at most 2 GB as such a row, is one partition.
 """
 
 from __future__ import annotations
@@ -37,22 +37,20 @@ def records_of(texts: DataFrame) -> DataFrame:
     line endings included. What stands before the first level-0 line is record 0 without a type; null texts have no records.
     """
     pieces = texts.select("doc_id", F.posexplode(F.split("text", RECORD_START)).alias("rec_no", "body")).where("body != ''")
-    bodies = pieces.withColumn("parts", F.split(F.regexp_replace("body", "(\r\n|\r|\n)$", ""), "\r\n|\r|\n", -1))
-    counted = bodies.select("doc_id", "rec_no", F.size("parts").alias("n_lines"), F.octet_length("body").cast("long").alias("byte_length"), "parts")
+    cut = pieces.withColumn("parts", F.split(F.regexp_replace("body", "(\r\n|\r|\n)$", ""), "\r\n|\r|\n", -1))
+    sized = cut.select("doc_id", "rec_no", "parts", F.size("parts").alias("n_lines"), F.octet_length("body").cast("long").alias("byte_length"), F.col("body").rlike(r"\S").alias("filled"))
     before = Window.partitionBy("doc_id").orderBy("rec_no").rowsBetween(Window.unboundedPreceding, -1)
-    placed = counted.drop("parts").select(
-        "doc_id", "rec_no", "byte_length", F.coalesce(F.sum("n_lines").over(before), F.lit(0)).alias("first"), F.coalesce(F.sum("byte_length").over(before), F.lit(0)).alias("byte_offset")
-    )
+    sums = {"first": F.coalesce(F.sum("n_lines").over(before), F.lit(0)), "byte_offset": F.coalesce(F.sum("byte_length").over(before), F.lit(0))}
+    placed = sized.withColumns(sums).where("filled")
 
     def lexed(part: Column, at: Column) -> Column:
         return let(lines.parse_line(part), lambda p: F.struct((F.col("first") + at + 1).alias("line_number"), *(p[k].alias(k) for k in ("level", "xref", "tag", "value", "code", "message"))))
 
-    whole = counted.drop("byte_length", "n_lines").join(placed, ["doc_id", "rec_no"])
-    tags = whole.withColumn("tags", F.filter(F.transform("parts", lexed), lambda t: F.coalesce(t["code"] != "EMPTY_LINE", F.lit(True))))
+    tags = placed.withColumn("tags", F.filter(F.transform("parts", lexed), lambda t: F.coalesce(t["code"] != "EMPTY_LINE", F.lit(True))))
     top = F.get("tags", F.lit(0))
     is_record = F.coalesce(top["level"] == 0, F.lit(False))
     own = lambda field, default: F.when(is_record, top[field]).otherwise(default)
-    return tags.where(F.size("tags") > 0).select(
+    return tags.select(
         "doc_id", "rec_no", own("xref", "").alias("xref"), own("tag", "").alias("type"), own("value", "").alias("value"), top["line_number"].alias("line_number"), "byte_offset", "byte_length", "tags"
     )
 
