@@ -33,7 +33,7 @@ def reach(edges: DataFrame, seeds: DataFrame, ordered: bool = False) -> DataFram
     """
     keep = ["doc_id", "src", "dst", "ord"] if ordered else ["doc_id", "src", "dst"]
     links = edges.select(*keep).where("src != dst")
-    links = links if ordered else links.distinct()
+    links = checkpointed(links if ordered else links.distinct())
     start = seeds.select("doc_id", "seed").distinct().withColumn("node", F.col("seed")).withColumn("depth", F.lit(0))
     frontier = checkpointed(start.withColumn("path", F.array().cast("array<int>")) if ordered else start)
     reached = [frontier]
