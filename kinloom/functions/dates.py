@@ -138,9 +138,9 @@ def compare(a: Column, b: Column) -> Column:
     sign = lambda x, y: F.when(x < y, -1).when(x > y, 1).otherwise(0)
     one = lambda c: F.when(c == 0, 1).otherwise(c)
     years = F.when(a["is_bc"] != b["is_bc"], F.when(a["is_bc"], -1).otherwise(1)).when(a["is_bc"], sign(b["year"], a["year"])).otherwise(sign(a["year"], b["year"]))
-    same = F.when(years != 0, years).when(one(a["month"]) != one(b["month"]), sign(one(a["month"]), one(b["month"]))).otherwise(sign(one(a["day"]), one(b["day"])))
+    same = let(years, lambda y: F.when(y != 0, y).when(one(a["month"]) != one(b["month"]), sign(one(a["month"]), one(b["month"]))).otherwise(sign(one(a["day"]), one(b["day"]))))
     across = (a["calendar"] != b["calendar"]) & (a["year"] != 0) & (b["year"] != 0)
-    return F.when(a.isNull() & b.isNull(), 0).when(a.isNull(), -1).when(b.isNull(), 1).when(across, sign(to_jdn(a), to_jdn(b))).otherwise(same)
+    return F.when(a.isNull() & b.isNull(), 0).when(a.isNull(), -1).when(b.isNull(), 1).when(across, let(F.struct(to_jdn(a).alias("a"), to_jdn(b).alias("b")), lambda x: sign(x["a"], x["b"]))).otherwise(same)
 
 
 def is_before(a: Column, b: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from kinloom.functions import dates, strings
 from kinloom.operators import kin
+from kinloom.operators.graph import checkpointed
 from kinloom.sources import entities
 
 ERROR, WARNING, INFO = "ERROR", "WARNING", "INFO"
@@ -209,13 +210,18 @@ def shown(issues: DataFrame, strictness: str = "normal", skip: tuple[str, ...] =
 
 
 def validate_all(records: DataFrame, vendors: tuple[str, ...] = ()) -> DataFrame:
-    """VAL-01, VAL-25: all rules over the records of any number of documents."""
-    people, fams = entities.individuals(records), entities.families(records)
-    edges = entities.edges(records)
-    marriages = fams.select("doc_id", F.col("xref").alias("family"), F.explode("marriages").alias("marriage"))
-    declared = records.where("xref != ''").select("doc_id", "xref", "type")
+    """VAL-01, VAL-25: all rules over the records of any number of documents.
+
+    People, references and marriages are checkpointed before the rules read them: each is used by several rules, and a predicate over a
+    date would otherwise be pushed below its parsing, which repeats the parser for every mention of the date.
+    """
     own = F.get("names", F.lit(0))
-    named = people.select("doc_id", "xref", "line_number", "sex", F.col("birth.year").alias("year"), strings.normalize_name(own["given"]).alias("given"), strings.normalize_name(own["surname"]).alias("surname"))
+    name = F.struct(strings.normalize_name(own["given"]).alias("given"), strings.normalize_name(own["surname"]).alias("surname"))
+    people = checkpointed(entities.individuals(records).select("doc_id", "xref", "line_number", "sex", "birth", "death", name.alias("name")))
+    edges = checkpointed(entities.edges(records))
+    marriages = checkpointed(entities.families(records).select("doc_id", F.col("xref").alias("family"), F.explode("marriages").alias("marriage")))
+    declared = records.where("xref != ''").select("doc_id", "xref", "type")
+    named = people.select("doc_id", "xref", "line_number", "sex", F.col("birth.year").alias("year"), F.coalesce("name.given", F.lit("")).alias("given"), F.coalesce("name.surname", F.lit("")).alias("surname"))
     pairs = duplicate_pairs(named, ["doc_id", "surname"])
     parts = [
         own_dates(people), parents_dates(edges, people), marriages_before_birth(edges, people, marriages), typed_orphans(edges, declared), required_fields(records), long_xrefs(declared), custom_tags(records, registry(*vendors)),

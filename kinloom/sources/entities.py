@@ -100,9 +100,14 @@ def _parsed_first(events: str, kind: str) -> Column:
 def individuals(records: DataFrame) -> DataFrame:
     """ENT-02 to ENT-07: (doc_id, xref, line_number, names, sex, uid, events, attributes, child_in_families, spouse_in_families,
     citations, notes, birth, death), in any order; equal identifiers all stay."""
+    return undated(records).withColumn("birth", _parsed_first("events", "BIRT")).withColumn("death", _parsed_first("events", "DEAT"))
+
+
+def undated(records: DataFrame) -> DataFrame:
+    """`individuals` without the parsed dates, for uses that need none: parsing is most of the plan."""
     g = F.col("g")
     of = lambda *tags: F.filter(g, lambda x: x["tag"].isin(*tags))
-    flat = _grouped(records, "INDI").select(
+    return _grouped(records, "INDI").select(
         "doc_id", "xref", "line_number", F.transform(of("NAME"), lambda x: name_parts(x["value"], x["below"])).alias("names"), strings.trim_space(_last_value(g, "SEX")).alias("sex"), _last_value(g, "UID").alias("uid"),
         _events(g, PERSON_EVENTS).alias("events"),
         F.transform(of(*ATTRIBUTES), lambda x: F.struct(x["tag"].alias("type"), x["value"].alias("value"), child(x["below"], "DATE").alias("date"), child(x["below"], "PLAC").alias("place"))).alias("attributes"),
@@ -111,7 +116,6 @@ def individuals(records: DataFrame) -> DataFrame:
         F.transform(of("SOUR"), lambda x: F.struct(strings.trim_space(x["value"]).alias("source_xref"), child(x["below"], "PAGE").alias("page"), quality(child(x["below"], "QUAY")).alias("quality"))).alias("citations"),
         F.transform(of("NOTE", "SNOTE"), lambda x: F.when(strings.is_pointer(strings.trim_space(x["value"])), strings.trim_space(x["value"])).otherwise(text_of(x["value"], x["below"]))).alias("notes"),
     )
-    return flat.withColumn("birth", _parsed_first("events", "BIRT")).withColumn("death", _parsed_first("events", "DEAT"))
 
 
 def quality(text: Column) -> Column:
@@ -122,13 +126,17 @@ def quality(text: Column) -> Column:
 
 def families(records: DataFrame) -> DataFrame:
     """ENT-16: (doc_id, xref, line_number, husband, wife, children, events, marriages); the last HUSB and WIFE win."""
+    parsed = F.transform(F.filter("events", lambda e: (e["type"] == "MARR") & (e["date"] != "")), lambda e: dates.parse_date(e["date"]))
+    return undated_families(records).withColumn("marriages", F.filter(parsed, lambda d: d["error"].isNull()))
+
+
+def undated_families(records: DataFrame) -> DataFrame:
+    """`families` without the parsed marriages."""
     g = F.col("g")
-    flat = _grouped(records, "FAM").select(
+    return _grouped(records, "FAM").select(
         "doc_id", "xref", "line_number", strings.trim_space(_last_value(g, "HUSB")).alias("husband"), strings.trim_space(_last_value(g, "WIFE")).alias("wife"),
         F.transform(F.filter(g, lambda x: x["tag"] == "CHIL"), lambda x: strings.trim_space(x["value"])).alias("children"), _events(g, FAMILY_EVENTS).alias("events"),
     )
-    parsed = F.transform(F.filter("events", lambda e: (e["type"] == "MARR") & (e["date"] != "")), lambda e: dates.parse_date(e["date"]))
-    return flat.withColumn("marriages", F.filter(parsed, lambda d: d["error"].isNull()))
 
 
 def simple(records: DataFrame, kind: str, fields: dict[str, str]) -> DataFrame:
@@ -175,8 +183,8 @@ def last_of(rows: DataFrame) -> DataFrame:
 
 def edges(records: DataFrame) -> DataFrame:
     """(doc_id, src, dst, ref_type, idx): typed level-1 references of people and families, idx counting within their kind."""
-    people = individuals(records)
-    fams = families(records)
+    people = undated(records)
+    fams = undated_families(records)
     spread = lambda rows, array, kind, dst="e": rows.select("doc_id", F.col("xref").alias("src"), F.posexplode(array).alias("idx", "e")).select("doc_id", "src", F.expr(dst).alias("dst"), F.lit(kind).alias("ref_type"), "idx")
     one = lambda column, kind: fams.where(F.col(column) != "").select("doc_id", F.col("xref").alias("src"), F.col(column).alias("dst"), F.lit(kind).alias("ref_type"), F.lit(0).alias("idx"))
     found = spread(people, "child_in_families", "FAMC", "e.family_xref").unionByName(spread(people, "spouse_in_families", "FAMS")).unionByName(spread(people, "citations", "SOUR", "e.source_xref"))
