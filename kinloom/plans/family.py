@@ -194,7 +194,7 @@ def combine_renumber(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def uppercase_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CONV-11."""
-    return conversion.uppercase(table(spark, sf_dir, "part").select(F.col("p_type").alias("xref")))
+    return conversion.uppercase(table(spark, sf_dir, "part").select(F.col("p_name").alias("xref")))
 
 
 def tag_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -275,7 +275,7 @@ ORACLES = {
     "combine_prefix": "SELECT '@I' || c_custkey || '@' AS xref FROM customer UNION ALL SELECT CASE WHEN s_suppkey IN (SELECT c_custkey FROM customer) THEN '@BI' ELSE '@I' END || s_suppkey || '@' FROM supplier",
     "combine_renumber": """SELECT '@I' || s_suppkey || '@' AS old, '@I' || ((SELECT max(k) FROM (SELECT max(c_custkey) AS k FROM customer UNION ALL SELECT max(s_suppkey) FROM supplier)) + row_number() OVER (ORDER BY s_suppkey)) || '@' AS new
         FROM supplier WHERE s_suppkey IN (SELECT c_custkey FROM customer)""",
-    "uppercase_ids": "SELECT DISTINCT p_type AS old, upper(p_type) AS new FROM part WHERE p_type <> upper(p_type)",
+    "uppercase_ids": "SELECT DISTINCT p_name AS old, upper(p_name) AS new FROM part WHERE p_name <> upper(p_name)",
     "tag_loss": "SELECT event_type AS tag, count(*) AS n, count(DISTINCT user_id) AS records FROM events WHERE event_type IN ('click', 'view', 'purchase') GROUP BY event_type",
     "media_type_map": """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'image/jpeg' WHEN 1 THEN 'application/pdf' WHEN 2 THEN 'image/tiff' WHEN 3 THEN 'audio/wav' WHEN 4 THEN 'image/x' ELSE '' END AS media_type,
         CASE doc_id % 6 WHEN 0 THEN 'jpg' WHEN 1 THEN 'pdf' WHEN 2 THEN 'tif' WHEN 3 THEN 'wav' ELSE '' END AS legacy FROM documents""",
