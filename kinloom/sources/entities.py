@@ -28,12 +28,11 @@ def _plain(tags: Column) -> Column:
 
 def groups(tags: Column) -> Column:
     """Level-1 tags with what is below each: array of struct(tag, value, line_number, below array of tags), one pass."""
-    empty = F.array().cast("array<struct<tag:string,value:string,line_number:bigint,from:int,till:int>>")
+    empty = F.array().cast("array<struct<tag:string,value:string,line_number:bigint,from:int>>")
     start = F.struct(F.lit(0).alias("i"), empty.alias("all"))
 
     def step(state: Column, t: Column) -> Column:
-        own = F.struct(t["tag"].alias("tag"), t["value"].alias("value"), t["line_number"].cast("long").alias("line_number"), (state["i"] + 2).alias("from"))
-        opened = F.struct(own["tag"].alias("tag"), own["value"].alias("value"), own["line_number"].alias("line_number"), own["from"].alias("from"), F.lit(0).alias("till"))
+        opened = F.struct(t["tag"].alias("tag"), t["value"].alias("value"), t["line_number"].cast("long").alias("line_number"), (state["i"] + 2).alias("from"))
         return F.struct((state["i"] + 1).alias("i"), F.when(t["level"] == 1, F.concat(state["all"], F.array(opened))).otherwise(state["all"]).alias("all"))
 
     def close(state: Column) -> Column:
