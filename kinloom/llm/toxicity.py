@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, bounded_sample, fold
-from .textparts import parts
+from .textparts import PART
 
 FOLDS, HELD_OUT = 3, 1
 TOXIC_FROM = 0.7
@@ -58,15 +58,28 @@ def _fold_table() -> np.ndarray:
 _TABLE: list[np.ndarray] = []
 
 
-def folded(text: str | None) -> str:
-    """The folded text, single spaces between its words, and one before and behind."""
+def folded_parts(text: str | None) -> Iterator[str]:
+    """The folded text, single spaces between its words, and one before and behind, in pieces of about `PART` characters.
+
+    Every character is folded by itself and spaces are joined across pieces, so the pieces together are the same wherever they are cut.
+    """
     if not _TABLE:
         _TABLE.append(_fold_table())
-    code = np.frombuffer((text or "").encode("utf-32-le"), "<u4")
-    out = np.where(code > 0xFFFF, code, _TABLE[0][np.minimum(code, 0xFFFF)])
-    out = np.concatenate(([32], out[out != 0], [32])).astype("<u4")
-    keep = np.concatenate(([True], (out[1:] != 32) | (out[:-1] != 32)))
-    return out[keep].tobytes().decode("utf-32-le")
+    last = 32
+    yield " "
+    for at in range(0, len(text or ""), PART):
+        code = np.frombuffer(text[at : at + PART].encode("utf-32-le"), "<u4")
+        out = np.where(code > 0xFFFF, code, _TABLE[0][np.minimum(code, 0xFFFF)])
+        out = np.concatenate(([last], out[out != 0])).astype("<u4")
+        keep = (out[1:] != 32) | (out[:-1] != 32)
+        last = int(out[-1])
+        yield out[1:][keep].tobytes().decode("utf-32-le")
+    if last != 32:
+        yield " "
+
+
+def folded(text: str | None) -> str:
+    return "".join(folded_parts(text))
 
 
 @dataclass
@@ -95,17 +108,21 @@ class Model:
 
     def evidence(self, text: str | None) -> tuple[float, int]:
         """(sum of the weights of matches that lie in no exception phrase, number of words)."""
-        total, words = 0.0, 0
-        for part in parts([text]):
-            flat = folded(part[0][1])
-            words += flat.count(" ") - 1
-            if not self.weights:
+        words, hits, starts, ends = -1, [], set(), set()
+        found = self.matcher().iter("") if self.weights else None
+        for flat in folded_parts(text):
+            words += flat.count(" ")
+            if found is None:
                 continue
-            hits, free = [], []
-            for end, (length, weight) in self.matcher().iter(flat):
-                (hits if weight else free).append((end - length, end, weight))
-            total += sum(w for a, b, w in hits if not any(x <= a and b <= y for x, y, _ in free))
-        return total, words
+            found.set(flat)  # goes on in the state and at the place that the piece before has left, so matches may lie across pieces
+            for end, (length, weight) in found:
+                if weight:
+                    hits.append((end - length, end, weight))
+                else:
+                    starts.add(end - length)
+                    ends.add(end)
+        # a phrase is two words, so a word in it begins or ends where it does
+        return float(sum(w for a, b, w in hits if a not in starts and b not in ends)), words
 
     def score(self, text: str | None) -> float:
         total, words = self.evidence(text)
