@@ -2,8 +2,8 @@
 
 A text is its letter trigrams, hashed to `BUCKETS`, as a normalised TF-IDF vector. Every language has several centroids,
 found by spherical k-means, and a text has the language of the centroid with the largest cosine. A text whose cosine is below
-`NEAR`, or below half the least of that language's sample, is rejected: very short texts are farther from their
-centroid than long ones, and texts of no known language share hardly a trigram with any.
+what labelled texts of that language with as many different trigrams have is rejected. Cosines grow with that number,
+those of texts in other languages too, as trigrams share buckets: so every language has a threshold for each power of two.
 """
 
 from __future__ import annotations
@@ -25,7 +25,13 @@ BUCKETS = 4096
 CENTROIDS = 4
 SAMPLE_ROWS = 1_500  # for each language
 SAMPLE_CHARS = 100_000
-NEAR = 0.1
+NEAR = 0.1  # the threshold where too few texts are labelled, and the least one
+# A threshold lies half way between these quantiles: the low one of a language's texts, the high one of texts in others.
+LOW, HIGH = 0.01, 0.95
+LEAST_TEXTS = 30
+BEGINNINGS = (8, 32, 128, 512, 2048)  # in characters, of some `CUT_TEXTS` texts of each language
+CUT_TEXTS = 500
+CLASSES = BUCKETS.bit_length()
 LETTER = np.fromiter((chr(c).isalpha() for c in range(1 << 16)), bool, 1 << 16)
 
 
@@ -64,12 +70,17 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-9)
 
 
+def _size_class(x: np.ndarray) -> np.ndarray:
+    """The power of two up to the number of buckets that each vector has."""
+    return np.log2(np.maximum(1, (x > 0).sum(axis=1))).astype(np.int64)
+
+
 @dataclass
 class Model:
     idf: np.ndarray
     centroids: np.ndarray
     languages: list[str]  # of each centroid
-    nearest: dict[str, float]  # the least cosine that a text of the language may have
+    nearest: dict[str, np.ndarray]  # the least cosine that a text of the language may have, by _size_class()
 
     def vectors(self, texts: list[str | None]) -> np.ndarray:
         return _unit(np.log1p(counts(texts)) * self.idf)
@@ -82,12 +93,13 @@ class Model:
             if not self.languages:
                 language += [UNKNOWN] * len(part)
                 continue
-            cosine = self.vectors(part) @ self.centroids.T
+            x = self.vectors(part)
+            cosine, size = x @ self.centroids.T, _size_class(x)
             for i, (text, best) in enumerate(zip(part, cosine.argmax(axis=1).tolist(), strict=True)):
                 if has_letter(text):
                     language.append(self.languages[best])
                     score[at + i] = min(1.0, max(0.0, float(cosine[i, best])))
-                    rejected[at + i] = score[at + i] < self.nearest[language[-1]]
+                    rejected[at + i] = score[at + i] < self.nearest[language[-1]][size[i]]
                 else:
                     language.append(UNKNOWN)
         return language, score, rejected
@@ -122,15 +134,61 @@ def fit(texts: list[str], languages: list[str]) -> Model:
         seen += (counts(texts[at : at + 512]) > 0).sum(axis=0)
     idf = (np.log((1 + len(texts)) / (1 + seen)) + 1).astype(np.float32)
     model = Model(idf, np.zeros((0, BUCKETS), np.float32), [], {})
-    found, nearest = [], {}
+    found = []
     for language in sorted({g for _, g in rows}):
         mine = [t for t, g in rows if g == language]
-        x = np.concatenate([model.vectors(mine[at : at + 512]) for at in range(0, len(mine), 512)])
-        centres = _centroids(x, CENTROIDS)
-        nearest[language] = min(NEAR, 0.5 * float((x @ centres.T).max(axis=1).min()))
+        centres = _centroids(np.concatenate([model.vectors(mine[at : at + 512]) for at in range(0, len(mine), 512)]), CENTROIDS)
         found.append(centres)
         model.languages += [language] * len(centres)
-    return Model(idf, np.concatenate(found).astype(np.float32), model.languages, nearest)
+    model.centroids = np.concatenate(found).astype(np.float32)
+    model.nearest = _thresholds(model, rows)
+    return model
+
+
+def _elsewhere(text: str, plane: int) -> str:
+    """`text` with its letters moved to another plane of Unicode: as long and as repetitive, and no trigram of a known language."""
+    code = np.frombuffer(text.encode("utf-32-le"), "<u4").copy()
+    code[LETTER[np.minimum(code, 0xFFFF)] & (code <= 0xFFFF)] += plane << 16
+    return code.tobytes().decode("utf-32-le")
+
+
+def _thresholds(model: Model, rows: list[tuple[str, str]]) -> dict[str, np.ndarray]:
+    """The least cosine of each language and size class, from the labelled texts and beginnings of several lengths.
+
+    What is to be rejected are texts of the other languages and texts in no language. Where these are as near as
+    the language's own, only the lowest of its own are rejected. No threshold is below `NEAR`, or below half the low quantile
+    of the language's texts if this is less; a class with few texts has the threshold of the next smaller one.
+    """
+    names = sorted(set(model.languages))
+    own, other = ({g: ([], []) for g in names} for _ in range(2))  # size classes and cosines
+    cut = []
+    for g in names:
+        mine = [t for t, h in rows if h == g]
+        cut += [(t[:n], g) for t in mine[:: -(-len(mine) // CUT_TEXTS)] for n in (*BEGINNINGS, len(t)) if n <= len(t) and has_letter(t[:n])]
+    cut += [(_elsewhere(t, 2 + i % 14), None) for i, (t, _) in enumerate(cut)]
+    whole, given = {g: sum(h == g for _, h in rows) for g in names}, rows + cut
+    for at in range(0, len(given), 512):
+        some = given[at : at + 512]
+        x = model.vectors([t for t, _ in some])
+        cosine, size, of = x @ model.centroids.T, _size_class(x), np.array([g or "" for _, g in some])
+        for g in names:
+            near = cosine[:, [h == g for h in model.languages]].max(axis=1)
+            for held, these in ((own[g], of == g), (other[g], of != g)):
+                held[0].append(size[these])
+                held[1].append(near[these])
+    out = {}
+    for g in names:
+        (size, near), (size_of_other, near_other) = (tuple(map(np.concatenate, held[g])) for held in (own, other))
+        least = min(NEAR, 0.5 * float(np.quantile(near[: whole[g]], LOW)))
+        out[g] = np.full(CLASSES, least)
+        for k in range(CLASSES):
+            mine, foreign = near[size == k], near_other[size_of_other == k]
+            if len(mine) < LEAST_TEXTS:
+                out[g][k] = out[g][max(0, k - 1)]
+                continue
+            low, high = np.quantile(mine, LOW), np.quantile(foreign, HIGH) if len(foreign) else 0.0
+            out[g][k] = max(least, min(low, (low + high) / 2))
+    return out
 
 
 def learn(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", language_column: str = "lang") -> Model:

@@ -2,7 +2,8 @@
 
 import numpy as np
 
-from kinloom.llm import toxicity
+from kinloom.llm import langid, toxicity
+from kinloom.llm.common import table
 from kinloom.llm.textparts import PART
 
 
@@ -24,3 +25,19 @@ def test_toxicity_counts_every_part_of_a_long_text():
     hits = sum(w == "bad" and v != "not" for v, w in zip(["", *words], words, strict=False))
     fold = {w: toxicity.folded(w).strip() for w in set(words)}
     assert model.evidence(text) == (2.0 * hits, len(words)) and toxicity.folded(text) == f" {' '.join(fold[w] for w in words)} "
+
+
+def test_language_rejects_texts_of_unlearned_languages_of_any_length(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    model = langid.learn(docs)
+    rng = np.random.default_rng(1)
+    for first, letters in ((0x61, 26), (0x3B1, 25), (0x430, 32), (0x4E00, 3000)):
+        for words in (10, 30, 100, 300, 1000, 3000, 10_000):
+            text = " ".join("".join(map(chr, rng.integers(first, first + letters, n))) for n in rng.integers(2, 9, words))
+            assert model.predict([text])[2][0], (first, words)
+    rows = [r for r in docs.collect() if r.text and r.lang]
+    unlearned = langid.learn(docs.where("lang != 'de'"))
+    for words in (10, 100, 300):
+        texts = [" ".join(r.text.split()[:words]) for r in rows if r.lang == "de" and len(r.text.split()) >= words]
+        assert len(texts) > 20 and np.mean(unlearned.predict(texts)[2]) > 0.8, words
+    assert np.mean(model.predict([r.text for r in rows])[2]) < 0.02
