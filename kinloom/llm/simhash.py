@@ -75,16 +75,19 @@ def fingerprint(text: str | None) -> int:
     return int((2 * counts > total).astype(np.uint64) @ (np.uint64(1) << np.arange(64, dtype=np.uint64)))
 
 
-def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id long, fp long): the fingerprint's bits as a signed long, one row for each row of `docs`."""
+def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", hashed: bool = False) -> DataFrame:
+    """(doc_id long, fp long): the fingerprint's bits as a signed long, one row for each row of `docs`; if `hashed`, with
+    the text's hash (long) as well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter(map(fingerprint, batch.column(1).to_pylist()), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *batch.schema.names[2:]])
 
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return arrow_map(rows, run, "doc_id long, fp long")
+    text = F.col(text_column).cast("string")
+    more = [F.xxhash64(text).alias("hash")] if hashed else []
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text.alias("text"), *more)
+    return arrow_map(rows, run, "doc_id long, fp long" + ", hash long" * hashed)
 
 
 def grid_points(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -223,24 +226,32 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     rows with a null id get the smallest id of their component, and null only if it has none; repeated rows repeat;
     an empty table gives no rows; other columns are ignored.
     """
-    fps = written(fingerprints(docs, id_column, text_column), "fingerprints")
+    found = _grouped(fingerprints(docs, id_column, text_column), point_rows)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _grouped(fps: DataFrame, point_rows: int) -> DataFrame:
+    """The rows of `fps` with root (a fingerprint that names the component) and component_id."""
+    fps = written(fps, "fingerprints")
     distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(_links(distinct, point_rows), "u", "v")
     placed = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     placed = written(placed, "placed")
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    labelled = placed.join(least, "root").select("fp", "component_id")
-    joined = fps.join(labelled, "fp")
-    return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return fps.join(placed.join(least, "root").select("fp", "root", "component_id"), "fp")
 
 
-def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", point_rows: int = POINT_ROWS) -> DataFrame:
     """The rows of `docs`, of each group of near-duplicates only the one with the smallest id, with all its columns.
 
-    Of rows that repeat that id one stays. Rows with a null id can be told from no other row and stay.
+    Of rows of a group that repeat that id the one whose text has the least hash stays, and of equal texts the one whose
+    columns have. Rows with one id in several groups stand for themselves in each. Rows with a null id can be told from
+    no other row and stay.
     """
-    found = near_duplicates(docs.where(F.col(id_column).isNotNull()), id_column, text_column)
-    kept = written(found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct(), "kept")
-    order = Window.partitionBy("__kept").orderBy("__kept")
-    rows = docs.join(kept, F.col(id_column).cast("long") == F.col("__kept")).withColumn("__row", F.row_number().over(order))
+    found = _grouped(fingerprints(docs.where(F.col(id_column).isNotNull()), id_column, text_column, True), point_rows)
+    kept = found.where("doc_id = component_id").groupBy("root").agg(F.min("doc_id").alias("__kept"), F.min("hash").alias("__hash"))
+    kept = written(kept.select("__kept", "__hash"), "kept")
+    order = Window.partitionBy("__kept", "__hash").orderBy(F.xxhash64(*(name for name, kind in docs.dtypes if "map<" not in kind)))
+    same = (F.col(id_column).cast("long") == F.col("__kept")) & (F.xxhash64(F.col(text_column).cast("string")) == F.col("__hash"))
+    rows = docs.join(kept, same).withColumn("__row", F.row_number().over(order))
     return rows.where("__row = 1").select(docs.columns).unionByName(docs.where(F.col(id_column).isNull()))

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from kinloom.llm import langid, toxicity
+from kinloom.llm import langid, simhash, toxicity
 from kinloom.llm.common import table
 from kinloom.llm.textparts import PART
 
@@ -41,3 +41,10 @@ def test_language_rejects_texts_of_unlearned_languages_of_any_length(spark):
         texts = [" ".join(r.text.split()[:words]) for r in rows if r.lang == "de" and len(r.text.split()) >= words]
         assert len(texts) > 20 and np.mean(unlearned.predict(texts)[2]) > 0.8, words
     assert np.mean(model.predict([r.text for r in rows])[2]) < 0.02
+
+
+def test_keep_one_keeps_different_texts_of_one_id(spark):
+    one, two, three = ("a long walk through the old town by night", "seven ships left harbour before the storm came", "prices of grain rose again in early spring")
+    rows = [(1, one), (5, one), (5, two), (5, three), (5, three), (7, two), (9, None), (9, None), (None, two)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(1, one), (5, two), (5, three), (9, None), (None, two)], key=str)
