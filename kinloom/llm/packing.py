@@ -31,43 +31,62 @@ BUCKET_ROWS, BUCKETS = 128, 4096
 SHORT = 96
 PART = 1 << 22
 KEPT_WORDS = 1_000_000
-LEARN_WORDS = 8_192
+LEARN_WORDS = 4_096
 MARK = "\x01"
+#: A sign before white space and behind a letter or digit begins a token of its own in the byte-level pattern.
+SIGN = (r"([0-9A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{17f}])([!-&(-/:-@\[-`{-~][ \n])", rf"\1{MARK}\2")
 #: Texts with white space other than single spaces and line feeds inside are encoded whole.
 UNEVEN = r"[^\S \n]|[\x01\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]|^[ \n]|[ \n]$|[ \n][ \n]"
 
 
 class TextEncoder:
-    """Ids of a tokenizers file. Texts are cut before a space or line feed between other characters, where the byte-level
-    pattern always cuts, and pieces seen before are not encoded again."""
+    """Ids of a tokenizers file. Texts are cut before a space or line feed between other characters and before a sign between a
+    letter and white space, where the byte-level pattern always cuts, and pieces seen before are not encoded again.
+
+    New pieces that begin with a space or line feed are encoded as one joined text, and its ids are cut at the tokens that
+    begin with one: no piece has another inside. Should the cuts not be as many as the pieces, they are encoded each by itself.
+    """
 
     def __init__(self, tokenizer_file: str, kept: int = KEPT_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer, self.kept = Tokenizer.from_file(tokenizer_file), kept
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[n for token, n in vocabulary.items() if token[:1] in ("\u0120", "\u010a")]] = True  # byte-level names of space and line feed
         self._clear()
 
     def _clear(self) -> None:
         self.number: dict[str, int] = {}
         self.at, self.length, self.flat, self.used = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(1 << 16, np.uint32), 0
 
-    def _coded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids of each text, all ids)."""
-        sizes, flat = [np.empty(0, np.int64)], [np.empty(0, np.uint32)]
-        for at in range(0, len(texts), LEARN_WORDS):  # the library's results are large, so few are held at a time
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts[at : at + LEARN_WORDS], add_special_tokens=False)]
-            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
-            flat.append(np.fromiter(chain.from_iterable(found), np.uint32, int(sizes[-1].sum())))
-        return np.concatenate(sizes), np.concatenate(flat)
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return sizes, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
+
+    def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words that begin with a space or line feed."""
+        flat = np.array(self.tokenizer.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        starts = np.flatnonzero(self.begins[flat])
+        return (np.diff(np.append(starts, len(flat))), flat) if len(starts) == len(words) and starts[0] == 0 else self._each(words)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        sizes, flat = self._coded(texts)
-        return np.split(flat, np.cumsum(sizes)[:-1]) if len(texts) else []
+        return [self._each([text])[1] for text in texts]
 
     def _learn(self, words: list[str]) -> None:
-        sizes, fresh = self._coded(words)
+        """Keeps the ids of new words, which all begin with a space or line feed, or none does."""
+        sizes, flat = [], []
+        # the library's results are large, so few are held at a time
+        for at in range(0, len(words), LEARN_WORDS):
+            some = words[at : at + LEARN_WORDS]
+            coded = self._joined(some) if some[0][:1] in (" ", "\n") else self._each(some)
+            sizes.append(coded[0])
+            flat.append(coded[1])
+        size, fresh = np.concatenate(sizes), np.concatenate(flat)
         self.number.update(zip(words, range(len(self.number), len(self.number) + len(words)), strict=True))
-        self.at = np.concatenate((self.at, self.used + np.cumsum(sizes) - sizes))
-        self.length = np.concatenate((self.length, sizes))
+        self.at = np.concatenate((self.at, self.used + np.cumsum(size) - size))
+        self.length = np.concatenate((self.length, size))
         if self.used + len(fresh) > len(self.flat):
             self.flat = np.concatenate((self.flat[: self.used], np.empty(self.used + 2 * len(fresh), np.uint32)))
         self.flat[self.used : self.used + len(fresh)] = fresh
@@ -88,12 +107,15 @@ class TextEncoder:
         if len(self.number) > self.kept:
             self._clear()
         even = pc.invert(pc.match_substring_regex(texts, UNEVEN))
-        marked = pc.replace_substring(pc.replace_substring(texts.filter(even), " ", MARK + " "), "\n", MARK + "\n")
+        marked = pc.replace_substring_regex(texts.filter(even), *SIGN)
+        marked = pc.replace_substring(pc.replace_substring(marked, " ", MARK + " "), "\n", MARK + "\n")
         split = pc.split_pattern(marked, MARK)
         coded = split.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
-        if new := [w for w in words if w not in self.number]:
-            self._learn(new)
+        new = [w for w in words if w not in self.number]
+        for some in ([w for w in new if w[:1] in (" ", "\n")], [w for w in new if w[:1] not in (" ", "\n")]):
+            if some:
+                self._learn(some)
         place = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
         sizes = self.length[place]
         flat = self.flat[runs(self.at[place], sizes)]
