@@ -1,8 +1,8 @@
 """Best-fit packing of documents into sequences: patterns by non-negative least squares, residuals by best fit.
 
 All that packing has to know is how many pieces have each length, a histogram of at most `CAPACITY` numbers at any size of the
-corpus. Patterns are two or three lengths that fill a sequence exactly; how often each is used is fitted to the histogram by
-non-negative least squares and rounded; what is left, and the shorter pieces that were kept back to fill gaps, is
+corpus. Patterns are two lengths in any numbers, or three, that fill a sequence exactly; how often each is used is fitted to the histogram by
+sparse non-negative least squares and rounded; what is left, and the shorter pieces that were kept back to fill gaps, is
 packed best fit decreasing, again by lengths and not by documents. Pieces of a length are numbered (in buckets, so that no
 length lies in one task), and their numbers say which place of the plan is theirs.
 """
@@ -160,62 +160,128 @@ def pieces(docs: DataFrame, tokenizer_file: str, id_column: str = "doc_id", text
     return arrow_map(rows, run, schema)
 
 
-def patterns(present: np.ndarray, capacity: int) -> np.ndarray:
-    """All sets of two or three of the lengths `present` that fill a sequence exactly, as rows of three (0: none)."""
-    has = np.zeros(capacity + 1, bool)
-    has[present] = True
-    low = present[present <= capacity // 2]
-    pairs = low[has[capacity - low]]
-    found = [np.stack((pairs, capacity - pairs, np.zeros_like(pairs)), axis=1)]
-    for a in present[present <= capacity // 3].tolist():
-        b = present[(present >= a) & (present <= (capacity - a) // 2)]
+def patterns(left: np.ndarray, capacity: int, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, times): every way to fill a sequence exactly with pieces of two lengths in any numbers or of three lengths once each.
+
+    Lengths are those from `least` on of which `left` has pieces, in the numbers that it has; rows of three, 0 where there is none.
+    """
+    has = left > 0
+    has[:least] = False
+    has[capacity:] = False
+    present = np.flatnonzero(has)
+    lengths, times = [np.zeros((0, 3), np.int64)], [np.zeros((0, 3), np.int64)]
+
+    def add(a: int, i: int, b: np.ndarray, j: np.ndarray) -> None:
+        lengths.append(np.stack((np.full_like(b, a), b, np.zeros_like(b)), axis=1))
+        times.append(np.stack((np.full_like(b, i), j, np.zeros_like(b)), axis=1))
+
+    for a in present.tolist():
+        for i in range(1, min(capacity // a, int(left[a])) + 1):
+            rest = capacity - i * a
+            if not rest:
+                add(a, i, np.zeros(1, np.int64), np.zeros(1, np.int64))
+                continue
+            j = np.arange(1, rest // (a + 1) + 1)
+            j = j[rest % j == 0]
+            j = j[has[rest // j] & (left[rest // j] >= j)]
+            add(a, i, rest // j, j)
+    for a in present[3 * present < capacity].tolist():
+        b = present[(present > a) & (2 * present < capacity - a)]
         b = b[has[capacity - a - b]]
-        found.append(np.stack((np.full_like(b, a), b, capacity - a - b), axis=1))
-    return np.concatenate(found)
-
-
-def fit_counts(found: np.ndarray, target: np.ndarray, rounds: int = 200) -> np.ndarray:
-    """Non-negative x, for which the patterns' lengths times x come closest to `target` (accelerated projected gradient)."""
-    use = lambda x: sum(np.bincount(found[:, k], weights=x, minlength=len(target)) for k in range(3)) * mask
-    mask = np.ones(len(target))
-    mask[0] = 0
-    back = lambda r: r[found].sum(axis=1)
-    probe = np.ones(len(found))
-    for _ in range(20):  # the largest eigenvalue gives the step
+        lengths.append(np.stack((np.full_like(b, a), b, capacity - a - b), axis=1))
+        times.append(np.ones((len(b), 3), np.int64))
+    return np.concatenate(lengths), np.concatenate(times)
+
+
+def _solve(lengths: np.ndarray, times: np.ndarray, target: np.ndarray, x: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """(non-negative x closest to `target`, what is left of it), by accelerated projected gradient from `x`."""
+    use = lambda v: np.bincount(lengths.ravel(), weights=(times * v[:, None]).ravel(), minlength=len(target))
+    back = lambda r: (r[lengths] * times).sum(axis=1)
+    probe = np.ones(len(lengths))
+    for _ in range(10):  # the largest eigenvalue gives the step
         probe = back(use(probe))
         most = np.linalg.norm(probe)
         probe /= most
-    x = y = np.zeros(len(found))
-    pace = 1.0
+    y, pace = x, 1.0
     for _ in range(rounds):
-        z = np.maximum(0, y - back(use(y) - target * mask) / (1.02 * most))
+        z = np.maximum(0, y - back(use(y) - target) / (1.05 * most))
         faster = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
         y = z + (pace - 1) / faster * (z - x)
         x, pace = z, faster
-    return x
+    return x, target - use(x)
+
+
+def fit_counts(lengths: np.ndarray, times: np.ndarray, target: np.ndarray, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """(active patterns, their counts): a sparse non-negative least-squares fit of the patterns' pieces to the histogram `target`.
+
+    Active sets: in each round those patterns enter that the residual asks for most, at most one for each length, the
+    problem is solved for the active ones, and those with a count of zero leave.
+    """
+    norm = np.sqrt((times * times).sum(axis=1))
+    active, x, residual = np.empty(0, np.int64), np.empty(0), target
+    for _ in range(rounds):
+        gain = (residual[lengths] * times).sum(axis=1) / norm
+        gain[active] = 0
+        order = np.flatnonzero(gain > 0.5)
+        order = order[np.argsort(-gain[order], kind="stable")]
+        free, fresh = np.ones(len(target), bool), []
+        while len(order):  # the best whose lengths are all free, then the next, by portions
+            for p, (a, b, c) in zip(order[:2048].tolist(), lengths[order[:2048]].tolist(), strict=True):
+                if free[a] and free[b] and free[c]:
+                    fresh.append(p)
+                    free[[a, b, c]] = False
+                    free[0] = True  # stands for no length
+            order = order[2048:]
+            order = order[free[lengths[order]].all(axis=1)]
+        if not fresh:
+            break
+        active, x = np.concatenate((active, np.array(fresh))), np.concatenate((x, np.zeros(len(fresh))))
+        x, residual = _solve(lengths[active], times[active], target, x)
+        active, x = active[x > 1e-6], x[x > 1e-6]
+    return active, x
+
+
+def plan_patterns(left: np.ndarray, capacity: int, least: int = 1) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths, how many sequences have them) by patterns; their pieces are taken from `left`.
+
+    Counts are fitted, rounded (to 1 at least) and taken from the largest on, but never more than there are; what rounding leaves is fitted anew
+    until a fit places less than a hundredth of the pieces.
+    """
+    result, total = [], int(left.sum())
+    while True:
+        lengths, times = patterns(left, capacity, least)
+        if not len(lengths):
+            return result
+        target = left.astype(np.float64)
+        target[:least] = 0
+        active, x = fit_counts(lengths, times, target)
+        placed = 0
+        for k in np.argsort(-x, kind="stable").tolist():
+            of, many = lengths[active[k]], times[active[k]]
+            of, many = of[many > 0], many[many > 0]
+            n = min(max(1, int(round(x[k]))), int((left[of] // many).min()))
+            if n:
+                left[of] -= n * many
+                placed += n * int(many.sum())
+                result.append((tuple(np.repeat(of, many).tolist()), n))
+        if placed * 100 < total:
+            return result
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, short: int = SHORT) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths, how many sequences have them): every piece of the histogram has a place."""
+    """(lengths, how many sequences have them): every piece of the histogram has a place.
+
+    Pieces below `short`, or below the median of the pieces that fill no sequence if this is less, are kept back from the patterns,
+    as they fill the gaps of what the patterns leave.
+    """
     left = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         left[length] = n
     result = [((capacity,), int(left[capacity]))] if left[capacity] else []
     left[capacity] = 0
-    present = np.flatnonzero(left)
-    present = present[present >= short]
-    found = patterns(present, capacity)
-    if len(found):
-        x = fit_counts(found, left.astype(np.float64))
-        # nearest whole numbers, those that round down the least first, and never more than there are
-        for i in np.argsort(-x, kind="stable"):
-            if (n := int(round(x[i]))) < 1:
-                break
-            lengths, times = np.unique(found[i][found[i] > 0], return_counts=True)
-            n = min(n, int((left[lengths] // times).min()))
-            if n:
-                left[lengths] -= n * times
-                result.append((tuple(found[i][found[i] > 0].tolist()), n))
+    if left.any():
+        median = int(np.searchsorted(np.cumsum(left), (left.sum() + 1) // 2))
+        result += plan_patterns(left, capacity, min(short, median))
     return result + best_fit(left, capacity)
 
 
