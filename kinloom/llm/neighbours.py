@@ -20,25 +20,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, written
+from .ragged import runs
 
-SAMPLE_ROWS = 6_000
+SAMPLE_ROWS = 8_000
 PARTITION_ROWS = 300
-#: Bounds what a query gathers: at most `k` rows from each block of each partition, so more partitions would mean more rows to merge.
-MOST_PARTITIONS = 32
+LEAST_SAMPLED = 48
 GRAPH = 10
 HIDDEN = 96
 TARGET = 0.95
-BLOCK_ROWS, BLOCK_QUERIES = 2_048, 512
+BLOCK_ROWS, BLOCK_QUERIES, RANKED_QUERIES = 8_192, 4_096, 256
 
 
 def nearest(x: np.ndarray, queries: np.ndarray, k: int) -> np.ndarray:
     """Indices of the `k` rows of `x` with the largest inner product for each query (an index into `x`), without itself."""
     out = []
-    for at in range(0, len(queries), 512):
-        rows = queries[at : at + 512]
+    for at in range(0, len(queries), 128):
+        rows = queries[at : at + 128]
         score = x[rows] @ x.T
         score[np.arange(len(rows)), rows] = -np.inf
-        out.append(np.argpartition(-score, min(k, score.shape[1] - 1) - 1, axis=1)[:, :k])
+        np.negative(score, out=score)
+        out.append(np.argpartition(score, min(k, score.shape[1] - 1) - 1, axis=1)[:, :k].astype(np.int32))
     return np.concatenate(out) if out else np.empty((0, k), np.int64)
 
 
@@ -153,6 +154,58 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
 
 
+def _mixed(ids: np.ndarray, salt: int) -> np.ndarray:
+    """A non-negative hash of each id."""
+    x = (ids.astype(np.uint64) + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(32)
+    return (x * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(33)).astype(np.int64)
+
+
+def layout(held: list[int], asks: list[int], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first block of each partition, its number of blocks, the number of portions of queries of each block).
+
+    `held` and `asks` are the rows and the queries of each partition, `most` is the number of all queries. Neighbouring partitions share a block while they fit.
+    """
+    first, slices, asked, room = [], [], [], 0
+    for rows, queries in zip(held, asks, strict=True):
+        several = max(1, -(-rows // BLOCK_ROWS))
+        if several > 1 or rows > room:
+            asked += [0] * several
+            room = BLOCK_ROWS if several == 1 else 0
+        first.append(len(asked) - several)
+        slices.append(several)
+        room = max(0, room - rows)
+        for block in range(len(asked) - several, len(asked)):
+            asked[block] += queries
+    return np.array(first, np.int64), np.array(slices, np.int64), np.array([max(1, -(-min(n, most) // BLOCK_QUERIES)) for n in asked], np.int64)
+
+
+def _best(q: np.ndarray, q_id: np.ndarray, probed: np.ndarray, c: np.ndarray, c_id: np.ndarray, bounds: list[tuple[int, int, int]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(how many each query has, ids, scores): the `k` best of the rows `c` in the partitions that a query probes.
+
+    `bounds` are (partition, first row, end) of the rows; within a partition ids ascend.
+    """
+    score = np.full((len(q), len(c)), -np.inf)
+    for part, a, b in bounds:
+        if len(rows := np.flatnonzero(probed[:, part])):
+            score[rows, a:b] = q[rows] @ c[a:b].T
+            own = a + np.minimum(np.searchsorted(c_id[a:b], q_id[rows]), b - a - 1)
+            same = c_id[own] == q_id[rows]
+            score[rows[same], own[same]] = -np.inf
+    near = score > -np.inf
+    if len(c) > k:
+        # sums in another order differ by less than this, so nothing that may tie is lost
+        slack = 1e-12 * np.sqrt((c * c).sum(axis=1).max()) * np.sqrt((q * q).sum(axis=1)) + 1e-300
+        near &= score >= (np.partition(score, len(c) - k, axis=1)[:, len(c) - k] - slack)[:, None]
+    row, at = np.nonzero(near)
+    exact = (c[at] * q[row]).sum(axis=1)
+    order = np.lexsort((c_id[at], -exact, row))
+    row, at, exact = row[order], at[order], exact[order]
+    size = np.bincount(row, minlength=len(q))
+    kept = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) < k
+    return np.minimum(size, k), c_id[at[kept]], exact[kept]
+
+
 def search(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", k: int = 20, every: int = 20, sample_rows: int = SAMPLE_ROWS, partition_rows: int = PARTITION_ROWS) -> DataFrame:
     """(query_id, rank int, vec_id, score): for each row whose id is divisible by `every`, its `k` nearest other rows found.
 
@@ -160,6 +213,9 @@ def search(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "
     non-finite components take no part, nor do null ids and vectors whose length is not the table's most frequent one (the shorter on a tie);
     an id that comes more than once counts once, with its least vector; an empty table gives no rows; other columns are
     ignored. Equal vectors tie. The sample has about `sample_rows` rows; all rows are indexed.
+
+    Where vectors have no structure (as in a ball, in many dimensions), no partition tells where neighbours are, and finding nine of ten means
+    to look at a fixed share of all rows for each query, so the work then grows with queries times rows; blocks keep every task bounded.
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -170,10 +226,10 @@ def search(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "
     size, total = lengths[0]
     rows = rows.where(F.size("embedding") == size)
     share = min(1.0, sample_rows / total)
-    sample = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).orderBy("vec_id").toPandas()
-    x = np.stack(sample["embedding"].to_list()) if len(sample) else np.zeros((0, size))
+    sample = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).orderBy("vec_id").select("embedding").toArrow()
+    x = _matrix(sample.column(0).combine_chunks(), size) if len(sample) else np.zeros((0, size))
     parts = 1
-    while parts * 2 <= min(MOST_PARTITIONS, total / partition_rows, len(x) / 64):
+    while parts * 2 <= min(total / partition_rows, len(x) / LEAST_SAMPLED):
         parts *= 2
     shared = spark.sparkContext.broadcast(fit(x, parts, k))
 
@@ -191,46 +247,59 @@ def search(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(order[:, 0].astype(np.int32)), pa.array(probes, pa.list_(pa.int32()))], names=["vec_id", "embedding", "part", "probes"])
 
     routed = written(arrow_map(rows.select("vec_id", "embedding"), route, "vec_id long, embedding array<double>, part int, probes array<int>"), "routed")
-    asked = routed.where(F.size("probes") > 0)
-    held = {r[0]: r[1] for r in routed.groupBy("part").count().collect()}  # `MOST_PARTITIONS` rows at most
+    asked = routed.where(F.size("probes") > 0).select("vec_id", "embedding", "probes")
+    held = {r[0]: r[1] for r in routed.groupBy("part").count().collect()}  # one row for each partition
     asks = {r[0]: r[1] for r in asked.select(F.explode("probes").alias("part")).groupBy("part").count().collect()}
-    row_blocks, query_blocks = ([max(1, -(-n.get(p, 0) // block)) for p in range(parts)] for n, block in ((held, BLOCK_ROWS), (asks, BLOCK_QUERIES)))
-
-    def blocks(of: list[int]) -> F.Column:
-        return F.element_at(F.array(*map(F.lit, of)), F.col("part") + 1)
+    laid = spark.sparkContext.broadcast(layout([held.get(p, 0) for p in range(parts)], [asks.get(p, 0) for p in range(parts)], asked.count()))
 
-    def every_block(of: list[int]) -> F.Column:
-        return F.explode(F.sequence(F.lit(0), blocks(of) - 1))
-
-    mix = F.xxhash64("vec_id", F.lit(3))
-    candidates = routed.withColumn("a", F.pmod(mix, blocks(row_blocks)).cast("int")).withColumn("b", every_block(query_blocks)).select("part", "a", "b", "vec_id", "embedding")
-    queries = asked.withColumn("part", F.explode("probes")).withColumn("b", F.pmod(mix, blocks(query_blocks)).cast("int")).withColumn("a", every_block(row_blocks)).select("part", "a", "b", "vec_id", "embedding")
+    def deal_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, slices, portions = laid.value
+        for batch in batches:
+            part = batch.column("part").to_numpy(zero_copy_only=False)
+            block = first[part] + _mixed(batch.column("vec_id").to_numpy(zero_copy_only=False), 1) % slices[part]
+            row = np.repeat(np.arange(len(part)), portions[block])
+            portion = np.arange(len(row)) - np.repeat(np.cumsum(portions[block]) - portions[block], portions[block])
+            kept = [batch.column(name).take(pa.array(row)) for name in ("vec_id", "embedding", "part")]
+            yield pa.RecordBatch.from_arrays([pa.array(block[row]), pa.array(portion), *kept], names=["block", "portion", "vec_id", "embedding", "part"])
+
+    def deal_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, slices, portions = laid.value
+        for batch in batches:
+            probes = batch.column("probes")
+            part = probes.flatten().to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(probes.offsets.to_numpy()))
+            pairs = np.unique(np.stack((np.repeat(owner, slices[part]), runs(first[part], slices[part])), axis=1), axis=0)
+            row, block = pairs[:, 0], pairs[:, 1]
+            portion = _mixed(batch.column("vec_id").to_numpy(zero_copy_only=False), 2)[row] % portions[block]
+            yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(portion), *(c.take(pa.array(row)) for c in batch.columns)], names=["block", "portion", *batch.schema.names])
 
     def rank(query_table: pa.Table, candidate_table: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        ids, scores, sizes = [np.empty(0, np.int64)], [np.empty(0)], []
+        asking = query_table.column("vec_id").to_numpy()
         if query_table.num_rows and candidate_table.num_rows:
-            q_id, q = query_table.column("vec_id").to_numpy(), _matrix(query_table.column("embedding").combine_chunks(), size)
-            c_id, c = candidate_table.column("vec_id").to_numpy(), _matrix(candidate_table.column("embedding").combine_chunks(), size)
-            order = np.argsort(c_id, kind="stable")
-            c_id, c = c_id[order], c[order]
-            longest = np.sqrt((c * c).sum(axis=1).max())
-            for i in range(len(q_id)):
-                rough = c @ q[i]
-                rough[c_id == q_id[i]] = -np.inf
-                if len(rough) > k:
-                    # sums in another order differ by less than this, so nothing that may tie is lost
-                    slack = 1e-12 * longest * np.sqrt(q[i] @ q[i]) + 1e-300
-                    near = np.flatnonzero(rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - slack)
-                else:
-                    near = np.arange(len(rough))
-                near = near[c_id[near] != q_id[i]]
-                exact = (c[near] * q[i]).sum(axis=1)
-                best = np.lexsort((c_id[near], -exact))[:k]
-                out.append((np.full(len(best), q_id[i]), c_id[near][best], exact[best]))
-        columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
-        return pa.table({"query_id": columns[0], "vec_id": columns[1], "score": columns[2]})
-
-    keys = ("part", "a", "b")
-    found = queries.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInArrow(rank, "query_id long, vec_id long, score double")
+            q, c = (_matrix(t.column("embedding").combine_chunks(), size) for t in (query_table, candidate_table))
+            lists = query_table.column("probes").combine_chunks()
+            probed = np.zeros((len(q), parts), bool)
+            probed[np.repeat(np.arange(len(q)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy(zero_copy_only=False)] = True
+            c_id, part = candidate_table.column("vec_id").to_numpy(), candidate_table.column("part").to_numpy()
+            order = np.lexsort((c_id, part))
+            c, c_id, part = c[order], c_id[order], part[order]
+            edges = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
+            for at in range(0, len(q), RANKED_QUERIES):
+                some = slice(at, at + RANKED_QUERIES)
+                found = _best(q[some], asking[some], probed[some], c, c_id, [(int(part[a]), a, b) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], k)
+                sizes.append(found[0])
+                ids.append(found[1])
+                scores.append(found[2])
+        else:
+            asking = asking[:0]
+        offsets = pa.array(np.concatenate(([0], *map(np.atleast_1d, sizes))).cumsum().astype(np.int32))
+        return pa.table({"query_id": asking, "ids": pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids))), "scores": pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(scores)))})
+
+    keys = ("block", "portion")
+    candidates = arrow_map(routed.select("vec_id", "embedding", "part"), deal_rows, "block long, portion long, vec_id long, embedding array<double>, part int")
+    queries = arrow_map(asked, deal_queries, "block long, portion long, vec_id long, embedding array<double>, probes array<int>")
+    met = queries.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInArrow(rank, "query_id long, ids array<long>, scores array<double>")
+    found = met.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("f")).select("query_id", F.col("f.ids").alias("vec_id"), F.col("f.scores").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
