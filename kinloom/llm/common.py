@@ -2,33 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable
-from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Gives this package to the executors, once for each application, as they need not have it installed."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    package = Path(__file__).resolve().parent.parent
-    target = Path(tempfile.mkdtemp(prefix="kinloom-")) / "kinloom.zip"
-    with zipfile.ZipFile(target, "w") as out:
-        for file in sorted(package.rglob("*.py")):
-            out.write(file, Path(package.name) / file.relative_to(package))
-    context.addPyFile(str(target))
-    _shipped.add(context.applicationId)
-
+from kinloom.shipping import fresh_path, ship, written  # noqa: F401
 
 def arrow_map(df: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
     """`df.mapInArrow`, on executors that have this package."""
@@ -41,32 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only where that setting is absent (tests on one machine) a folder is made and kept for the session.
-    """
-    conf = spark.sparkContext.getConf()
-    if found := conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    if not (own := spark.conf.get("kinloom.shared.dir", None)):
-        own = "file://" + tempfile.mkdtemp(prefix="kinloom-")
-        spark.conf.set("kinloom.shared.dir", own)
-    return own
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """`df` written as Parquet in the shared folder and read back: a cut in lineage that survives lost executors."""
-    path = fresh_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def size_on_disk(spark: SparkSession, df: DataFrame) -> int:
     """Bytes of the files that a written table consists of."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
@@ -96,3 +51,17 @@ def bounded_sample(df: DataFrame, key: str, stratum: str, per_stratum: int) -> D
         if row[0] is not None:
             share = F.when(F.col(stratum) == F.lit(row[0]), F.lit(min(most, int(most * per_stratum / row["count"]) + 1))).otherwise(share)
     return df.where(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(7)), F.lit(most)) < share)
+
+
+def sampled_texts(docs: DataFrame, chosen: DataFrame | None, id_column: str, text_column: str, most_chars: int, more: dict[str, Column] | None = None) -> pd.DataFrame:
+    """(id, text, and what `chosen` or `more` has besides) of the rows of `docs`, those that `chosen` has if it is given, in order of id and text.
+
+    For fitting only, on a sample whose rows are bounded already. Should its texts together have more than `most_chars`
+    characters, a smaller part of its rows is taken, by a hash of the id, so long texts and short ones stay as likely as each other.
+    """
+    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"), *(c.alias(n) for n, c in (more or {}).items()))
+    rows = written(rows if chosen is None else rows.join(F.broadcast(chosen), "id"), "sample")
+    total = rows.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    if total > most_chars:
+        rows = rows.where(F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(13)), F.lit(1 << 30)) < int((1 << 30) * most_chars / total))
+    return rows.toPandas().sort_values(["id", "text"])

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bounded_sample, fold
+from .common import arrow_map, bounded_sample, fold, sampled_texts
 from .textparts import parts
 
 FOLDS, HELD_OUT = 3, 1
@@ -24,7 +24,7 @@ UNKNOWN = "und"
 BUCKETS = 4096
 CENTROIDS = 4
 SAMPLE_ROWS = 1_500  # for each language
-SAMPLE_CHARS = 100_000
+SAMPLE_CHARS = 32_000_000  # of all sampled texts together
 NEAR = 0.1  # the threshold where too few texts are labelled, and the least one
 # A threshold lies half way between these quantiles: the low one of a language's texts, the high one of texts in others.
 LOW, HIGH = 0.01, 0.95
@@ -32,7 +32,9 @@ LEAST_TEXTS = 30
 BEGINNINGS = (8, 32, 128, 512, 2048)  # in characters, of some `CUT_TEXTS` texts of each language
 CUT_TEXTS = 500
 CLASSES = BUCKETS.bit_length()
-LETTER = np.fromiter((chr(c).isalpha() for c in range(1 << 16)), bool, 1 << 16)
+#: Letters of the first two planes; those from the third on are ideographs up to plane 13, and none beyond.
+PLANES = 2 << 16
+LETTER = np.fromiter((chr(c).isalpha() for c in range(PLANES)), bool, PLANES)
 
 
 def has_letter(text: str | None) -> bool:
@@ -47,7 +49,7 @@ def counts(texts: list[str | None]) -> np.ndarray:
         # lower case can change a text's length, so the owners are counted after it
         owner = np.repeat(np.arange(len(part)), [len(t.lower()) + 1 for _, t in part])
         code = np.frombuffer(flat.encode("utf-32-le"), "<u4")
-        blank = ~(LETTER[np.minimum(code, 0xFFFF)] | (code > 0xFFFF))
+        blank = ~np.where(code < PLANES, LETTER[np.minimum(code, PLANES - 1)], code < 0xE0000)
         code = np.where(blank, 32, code).astype(np.uint64)
         keep = np.concatenate(([True], ~(blank[1:] & blank[:-1])))
         owner = np.concatenate(([0], owner))[keep]
@@ -148,7 +150,7 @@ def fit(texts: list[str], languages: list[str]) -> Model:
 def _elsewhere(text: str, plane: int) -> str:
     """`text` with its letters moved to another plane of Unicode: as long and as repetitive, and no trigram of a known language."""
     code = np.frombuffer(text.encode("utf-32-le"), "<u4").copy()
-    code[LETTER[np.minimum(code, 0xFFFF)] & (code <= 0xFFFF)] += plane << 16
+    code[LETTER[np.minimum(code, 0xFFFF)] & (code <= 0xFFFF)] += plane << 16  # each is a letter there, as 2 <= plane <= 13
     return code.tobytes().decode("utf-32-le")
 
 
@@ -165,7 +167,7 @@ def _thresholds(model: Model, rows: list[tuple[str, str]]) -> dict[str, np.ndarr
     for g in names:
         mine = [t for t, h in rows if h == g]
         cut += [(t[:n], g) for t in mine[:: -(-len(mine) // CUT_TEXTS)] for n in (*BEGINNINGS, len(t)) if n <= len(t) and has_letter(t[:n])]
-    cut += [(_elsewhere(t, 2 + i % 14), None) for i, (t, _) in enumerate(cut)]
+    cut += [(_elsewhere(t, 2 + i % 12), None) for i, (t, _) in enumerate(cut)]
     whole, given = {g: sum(h == g for _, h in rows) for g in names}, rows + cut
     for at in range(0, len(given), 512):
         some = given[at : at + 512]
@@ -192,10 +194,10 @@ def _thresholds(model: Model, rows: list[tuple[str, str]]) -> dict[str, np.ndarr
 
 
 def learn(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", language_column: str = "lang") -> Model:
-    """Fits on about `SAMPLE_ROWS` rows of each language outside the held-out fold, of texts up to `SAMPLE_CHARS`."""
+    """Fits on about `SAMPLE_ROWS` rows of each language outside the held-out fold, on fewer if their texts exceed `SAMPLE_CHARS`."""
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"), F.col(language_column).cast("string").alias("lang"))
-    rows = rows.where((fold("id", FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
-    sample = bounded_sample(rows, "id", "lang", SAMPLE_ROWS).toPandas().sort_values(["id", "text"])
+    rows = rows.where((fold("id", FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    sample = sampled_texts(bounded_sample(rows, "id", "lang", SAMPLE_ROWS), None, "id", "text", SAMPLE_CHARS, {"lang": F.col("lang")})
     return fit(sample["text"].tolist(), sample["lang"].tolist())
 
 

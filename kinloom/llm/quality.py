@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bounded_sample, fold
+from .common import arrow_map, bounded_sample, fold, sampled_texts
 from .textparts import joined, parts, word_bounds, word_hashes
 
 FOLDS, HELD_OUT = 5, 0
 REJECT_BELOW = 0.3
 SAMPLE_ROWS = 3_000  # for each label
-SAMPLE_CHARS = 100_000
+SAMPLE_CHARS = 32_000_000  # of all sampled texts together
 BITS = 16
 SIZE = 32
 NONZERO = 4
@@ -188,13 +188,12 @@ def fit(texts: list[str], labels: list[int], share: float) -> Model:
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality") -> Model:
-    """Fits on about `SAMPLE_ROWS` labelled rows of each label outside the held-out fold, of texts up to `SAMPLE_CHARS`."""
+    """Fits on about `SAMPLE_ROWS` labelled rows of each label outside the held-out fold, on fewer if their texts exceed `SAMPLE_CHARS`."""
     known = labels.where(F.col(id_column).isNotNull() & F.col(label_column).isin(0, 1)).where(fold(id_column, FOLDS) != HELD_OUT)
     known = known.select(F.col(id_column).cast("long").alias("id"), F.col(label_column).cast("int").alias("y"))
     counts = dict(known.groupBy("y").count().collect())
     chosen = bounded_sample(known, "id", "y", SAMPLE_ROWS).dropDuplicates(["id"])
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    rows = rows.where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(chosen), "id").toPandas().sort_values(["id", "text"])
+    rows = sampled_texts(docs, chosen, id_column, text_column, SAMPLE_CHARS)
     return fit(rows["text"].tolist(), rows["y"].tolist(), counts.get(1, 0) / sum(counts.values()) if counts else 0.5)
 
 

@@ -19,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bounded_sample, fold
+from .common import arrow_map, bounded_sample, fold, sampled_texts
 from .textparts import PART
 
 FOLDS, HELD_OUT = 3, 1
 TOXIC_FROM = 0.7
 SAMPLE_ROWS = 8_000  # for each label
-SAMPLE_CHARS = 100_000
+SAMPLE_CHARS = 32_000_000  # of all sampled texts together
 CHANCE = 0.01  # for the whole vocabulary
 EXCEPTION_TEXTS = 3
 POWERS = (0.0, 0.25, 0.5, 0.75, 1.0)
@@ -37,12 +37,13 @@ LOOKALIKES = {
     "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "|": "i", "€": "e",
 }
 SAME = {"l": "i"}  # "1" stands for either
+PLANES = 2 << 16
 
 
 def _fold_table() -> np.ndarray:
-    """The folded character of each of the basic plane; 32 for what is no letter, 0 for what is dropped."""
-    table = np.full(1 << 16, 32, np.uint32)
-    for code in range(1 << 16):
+    """The folded character of each of the first two planes; 32 for what is no letter, 0 for what is dropped."""
+    table = np.full(PLANES, 32, np.uint32)
+    for code in range(PLANES):
         char = chr(code)
         kind = unicodedata.category(char)
         if kind in ("Mn", "Me", "Cf"):
@@ -69,7 +70,8 @@ def folded_parts(text: str | None) -> Iterator[str]:
     yield " "
     for at in range(0, len(text or ""), PART):
         code = np.frombuffer(text[at : at + PART].encode("utf-32-le"), "<u4")
-        out = np.where(code > 0xFFFF, code, _TABLE[0][np.minimum(code, 0xFFFF)])
+        # beyond the first two planes are ideographs, which stay, and from plane 14 on tags and selectors, which are dropped
+        out = np.where(code < PLANES, _TABLE[0][np.minimum(code, PLANES - 1)], np.where(code < 0xE0000, code, 0))
         out = np.concatenate(([last], out[out != 0])).astype("<u4")
         keep = (out[1:] != 32) | (out[:-1] != 32)
         last = int(out[-1])
@@ -211,12 +213,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float,
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic") -> Model:
-    """Fits on about `SAMPLE_ROWS` labelled rows of each label outside the held-out fold, of texts up to `SAMPLE_CHARS`."""
+    """Fits on about `SAMPLE_ROWS` labelled rows of each label outside the held-out fold, on fewer if their texts exceed `SAMPLE_CHARS`."""
     known = labels.where(F.col(id_column).isNotNull() & F.col(label_column).isin(0, 1)).where(fold(id_column, FOLDS) != HELD_OUT)
     known = known.select(F.col(id_column).cast("long").alias("id"), F.col(label_column).cast("int").alias("y"))
     chosen = bounded_sample(known, "id", "y", SAMPLE_ROWS).dropDuplicates(["id"])
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    rows = rows.where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(chosen), "id").toPandas().sort_values(["id", "text"])
+    rows = sampled_texts(docs, chosen, id_column, text_column, SAMPLE_CHARS)
     return fit(rows["text"].tolist(), rows["y"].tolist())
 
 
