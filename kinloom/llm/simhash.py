@@ -31,6 +31,7 @@ HALF = 16
 POINTS = 3**HALF
 POINT_ROWS = 20_000
 CHUNK = 1 << 20
+SLICES = 16
 
 
 def _word_runs(text: str) -> Iterator[list[bytes]]:
@@ -235,10 +236,12 @@ def _grouped(fps: DataFrame, point_rows: int) -> DataFrame:
     fps = written(fps, "fingerprints")
     distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(_links(distinct, point_rows), "u", "v")
-    placed = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    placed = written(placed, "placed")
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(placed.join(least, "root").select("fp", "root", "component_id"), "fp")
+    placed = written(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", "root"), "placed")
+    alone = placed.where("root IS NULL").select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"))
+    # a component may be very large, so its name is joined back in slices
+    linked = placed.where("root IS NOT NULL").withColumn("slice", F.pmod(F.xxhash64("fp"), F.lit(SLICES)))
+    least = linked.groupBy("root").agg(F.min("least").alias("component_id")).withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SLICES - 1).cast("long"))))
+    return fps.join(alone.unionByName(linked.join(least, ["root", "slice"]).select("fp", "root", "component_id")), "fp")
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", point_rows: int = POINT_ROWS) -> DataFrame:
