@@ -20,9 +20,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, fresh_path, written
+from .common import arrow_map, fresh_path, size_on_disk, written
 
 STEP = 1 << 16
+HEAD = 1 << 20
+#: Digests of payloads that come more than once, as a written table up to this size, go to every task.
+BROADCAST_BYTES = 16 << 20
 ARCHIVE_BYTES = 256 << 20
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_ID = re.compile(r"<urn:kinloom:page:(-?\d+)>")
@@ -120,6 +123,12 @@ class Members:
             size -= len(piece)
             yield piece
 
+    def drop(self) -> None:
+        """The rest of the member, which goes."""
+        self.buffer.clear()
+        while self._fill():
+            self.buffer.clear()
+
     def rest(self) -> bytes:
         while self._fill():
             if len(self.buffer) > STEP * 4:
@@ -141,7 +150,8 @@ def read_records(file: BinaryIO, with_payload: bool = False) -> Iterator[dict]:
 
     Each has type, record_id, refers_to, target_uri, content_type, offset, payload_bytes, payload_digest, digest_ok,
     payload and error. Size and digest of a revisit's payload are those its headers state, as the payload lies elsewhere. A
-    damaged record has its error, and reading of that archive ends there, as nothing frames what follows.
+    damaged record has its error, and reading goes on with the next member; only where the compressed data themselves are damaged or cut
+    it ends there, as nothing frames what follows. An HTTP block without a blank line in its first `HEAD` bytes is all payload.
     """
     members = Members(file)
     while members.next():
@@ -157,14 +167,22 @@ def read_records(file: BinaryIO, with_payload: bool = False) -> Iterator[dict]:
             for piece in members.exactly(int(head["content-length"])):
                 block.update(piece)
                 if start is not None:
+                    seen = max(0, len(start) - 3)
                     start += piece
-                    if (at := start.find(b"\r\n\r\n")) < 0:
+                    if (at := start.find(b"\r\n\r\n", seen)) >= 0:
+                        http, piece, start = _headers(bytes(start[:at]))[1], bytes(start[at + 4 :]), None
+                    elif len(start) <= HEAD:
                         continue
-                    http, piece, start = _headers(bytes(start[:at]))[1], bytes(start[at + 4 :]), None
+                    else:
+                        piece, start = bytes(start), None
                 payload.update(piece)
                 size += len(piece)
                 if with_payload:
                     kept.append(piece)
+            if start:
+                payload.update(start)
+                size += len(start)
+                kept += [bytes(start)] if with_payload else []
             if members.rest() != b"\r\n\r\n":
                 raise ValueError("a record is not framed by its content length")
             code = lambda digest: "sha1:" + base64.b32encode(digest.digest()).decode()
@@ -177,11 +195,18 @@ def read_records(file: BinaryIO, with_payload: bool = False) -> Iterator[dict]:
                 row["digest_ok"] &= head.get("warc-payload-digest", digest) == digest
                 row["payload"] = b"".join(kept) if with_payload else None
             row |= {"payload_bytes": size, "payload_digest": digest.removeprefix("sha1:")}
-        except (ValueError, KeyError, EOFError, zlib.error) as error:
+        except (ValueError, KeyError) as error:
             row["error"] = f"{type(error).__name__}: {error}"
-        yield row
-        if row["error"]:
+            try:
+                members.drop()
+            except (EOFError, zlib.error) as end:
+                yield row
+                yield dict.fromkeys(row) | {"offset": members.offset, "error": f"{type(end).__name__}: {end}"}
+                return
+        except (EOFError, zlib.error) as error:
+            yield row | {"error": f"{type(error).__name__}: {error}"}
             return
+        yield row
 
 
 def write_archives(pages: DataFrame, directory: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -257,9 +282,12 @@ def with_revisits(pages: DataFrame, id_column: str = "page_id", url_column: str
     has no refers_to, the others that id."""
     rows = pages.select(F.col(id_column).cast("long").alias("page_id"), F.col(url_column).cast("string").alias("url"), F.coalesce(F.col(html_column).cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("sha", F.sha1("payload"))
-    # the aggregate combines copies before its shuffle, and only digests that come more than once take part in the join
+    # the aggregate combines copies before its shuffle, and only digests that come more than once take part in the join; payloads are shuffled
+    # only where these are many, and then Spark splits a digest with very many pages
     copied = rows.where(F.octet_length("payload") >= least_bytes).groupBy("sha").agg(F.min("page_id").alias("least"), F.count("*").alias("n")).where("n > 1")
-    joined = rows.join(copied.select("sha", "least"), "sha", "left")
+    copied = written(copied.select("sha", "least"), "copied")
+    side = F.broadcast(copied) if size_on_disk(pages.sparkSession, copied) <= BROADCAST_BYTES else copied
+    joined = rows.join(side, "sha", "left")
     refers_to = F.when(F.octet_length("payload") >= least_bytes, F.when(F.col("page_id").eqNullSafe(F.col("least")), None).otherwise(F.col("least")))
     return joined.select("page_id", "url", "payload", refers_to.alias("refers_to"))
 
