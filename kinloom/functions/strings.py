@@ -9,18 +9,19 @@ from pyspark.sql import functions as F
 
 POINTER = r"^@[^ \t\n\r@]+@$"
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
-# Legacy multimedia formats and the media types that stand for them.
+# Legacy multimedia formats with the media types that stand for them, and the other way round.
 TO_MEDIA_TYPE = {
-    "jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "gif": "image/gif", "bmp": "image/bmp", "tif": "image/tiff", "tiff": "image/tiff", "pcx": "image/vnd.zbrush.pcx",
-    "pdf": "application/pdf", "txt": "text/plain", "htm": "text/html", "html": "text/html", "wav": "audio/wav", "mp3": "audio/mpeg", "avi": "video/x-msvideo", "mp4": "video/mp4",
+    "JPG": "image/jpeg", "JPEG": "image/jpeg", "PNG": "image/png", "GIF": "image/gif", "TIFF": "image/tiff", "TIF": "image/tiff", "BMP": "image/bmp", "MP3": "audio/mpeg", "WAV": "audio/wav",
+    "MP4": "video/mp4", "MPEG": "video/mpeg", "MPG": "video/mpeg", "AVI": "video/x-msvideo", "PDF": "application/pdf", "TXT": "text/plain", "TEXT": "text/plain",
 }
 TO_LEGACY = {
-    "image/jpeg": "jpg", "image/png": "png", "image/gif": "gif", "image/bmp": "bmp", "image/tiff": "tif", "application/pdf": "pdf", "text/plain": "txt", "text/html": "html",
-    "audio/wav": "wav", "audio/mpeg": "mp3", "video/x-msvideo": "avi", "video/mp4": "mp4",
+    "image/jpeg": "JPG", "image/png": "PNG", "image/gif": "GIF", "image/tiff": "TIFF", "image/bmp": "BMP", "audio/mpeg": "MP3", "audio/wav": "WAV", "video/mp4": "MP4", "video/mpeg": "MPEG",
+    "video/x-msvideo": "AVI", "application/pdf": "PDF", "text/plain": "TXT",
 }
 # Words in a source system's name, in order of priority, and the vendor they stand for.
 VENDORS = (("ancestry", "ancestry"), ("familytreemaker", "ancestry"), ("familysearch", "familysearch"), ("rootsmagic", "rootsmagic"), ("legacy", "legacy"), ("gramps", "gramps"), ("myheritage", "myheritage"))
-RECORD_NAMES = {"INDI": "Individual", "FAM": "Family", "SOUR": "Source", "REPO": "Repository", "NOTE": "Note", "SNOTE": "SharedNote", "OBJE": "Media", "SUBM": "Submitter", "HEAD": "Header"}
+# What reports call the types of records.
+RECORD_NAMES = {"INDI": "Individual", "FAM": "Family", "SOUR": "Source", "REPO": "Repository", "NOTE": "Note", "OBJE": "MediaObject", "SUBM": "Submitter", "HEAD": "Header", "TRLR": "Trailer"}
 
 
 def trim_space(s: Column) -> Column:
@@ -105,7 +106,8 @@ def unescape_at(s: Column) -> Column:
 
 
 def coordinate(s: Column) -> Column:
-    """STR-12: N or E and a number, S or W for negative ones; null for anything else."""
+    """STR-12: N or E and a number, S or W for negative ones, white space around it apart; null for anything else."""
+    s = trim_space(s)
     number = F.substring(s, 2, 1_000_000).try_cast("double")
     good = s.rlike(r"^[NSEWnsew](\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
     return F.when(good, F.when(F.upper(F.substring(s, 1, 1)).isin("S", "W"), -number).otherwise(number))
@@ -113,6 +115,7 @@ def coordinate(s: Column) -> Column:
 
 def coordinates(latitude: Column, longitude: Column) -> Column:
     """STR-13: struct (lat, long, error); both empty are (0, 0)."""
+    latitude, longitude = trim_space(latitude), trim_space(longitude)
     lat, long = coordinate(latitude), coordinate(longitude)
     error = (
         F.when((latitude == "") & (longitude == ""), None).when((latitude == "") | (longitude == ""), "one coordinate is missing")
@@ -126,7 +129,7 @@ def coordinates(latitude: Column, longitude: Column) -> Column:
 
 def coordinates_empty(latitude: Column, longitude: Column) -> Column:
     """STR-14."""
-    return (latitude == "") & (longitude == "")
+    return (trim_space(latitude) == "") & (trim_space(longitude) == "")
 
 
 def id_number(xref: Column) -> Column:
@@ -141,24 +144,28 @@ def split_lines(s: Column) -> Column:
 
 
 def wrap(line: Column, most: int) -> Column:
-    """STR-16 and STR-17: pieces of at most `most` characters, cut behind the last space that fits, else hard.
+    """STR-16 and STR-17: pieces of at most `most` bytes, cut behind the last space that fits, else between characters.
 
-    Characters are counted, not bytes, so that no character is ever cut.
+    The pieces are found in a text with one character for each byte of the line, which native expressions can count.
     """
-    piece = rf"(?s).{{1,{most}}}$|.{{0,{most - 1}}} (?=[^ ])|.{{{most}}}"
-    return F.when(line == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(line, F.lit(f"({piece})"), F.lit(0)))
+    form = rf"(?s).{{1,{most}}}\z|.{{1,{most - 1}}} |.{{{max(1, most - 3)},{most}}}(?![\x80-\xBF])"
+    by_byte = F.decode(F.encode(line, "UTF-8"), "ISO-8859-1")
+    pieces = F.transform(F.regexp_extract_all(by_byte, F.lit(f"({form})"), F.lit(0)), lambda p: F.decode(F.encode(p, "ISO-8859-1"), "UTF-8"))
+    return F.when(F.octet_length(line) <= most, F.array(line)).otherwise(pieces)
+
+
+def _mapped(s: Column, table: dict[str, str], key: Column) -> Column:
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), key)
 
 
 def to_media_type(s: Column) -> Column:
-    """STR-20: values with a slash pass, unknown ones give ''."""
-    table = F.create_map(*(F.lit(x) for pair in TO_MEDIA_TYPE.items() for x in pair))
-    return F.when(F.contains(s, F.lit("/")), s).otherwise(F.coalesce(F.try_element_at(table, F.lower(s)), F.lit("")))
+    """STR-20: other values with a slash pass, other ones without give ''."""
+    return F.coalesce(_mapped(s, TO_MEDIA_TYPE, F.upper(trim_space(s))), F.when(F.contains(s, F.lit("/")), s).otherwise(""))
 
 
 def to_legacy_media(s: Column) -> Column:
-    """STR-21."""
-    table = F.create_map(*(F.lit(x) for pair in TO_LEGACY.items() for x in pair))
-    return F.coalesce(F.try_element_at(table, F.lower(s)), F.lit(""))
+    """STR-21: other values without a slash pass, other ones with give ''."""
+    return F.coalesce(_mapped(s, TO_LEGACY, F.lower(trim_space(s))), F.when(F.contains(s, F.lit("/")), "").otherwise(s))
 
 
 def path(*segments: Column) -> Column:

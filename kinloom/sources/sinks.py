@@ -17,12 +17,12 @@ def render_tags(level: Column, xref: Column, tag: Column, value: Column) -> Colu
     return F.concat(F.array(first), rest)
 
 
-def text_to_tags(value: Column, level: int, tag: str, most: int = 248) -> Column:
-    """STR-18: array of (level, tag, value): the tag, CONC for what goes beyond `most` characters, CONT for each further line."""
+def text_to_tags(value: Column, level: int, tag: str, most: int | None = 248) -> Column:
+    """STR-18: array of (level, tag, value): the tag, CONC for what goes beyond `most` bytes (None: never), CONT for each further line."""
     row = lambda at, name, text: F.struct(F.lit(at).alias("level"), F.lit(name).alias("tag") if isinstance(name, str) else name.alias("tag"), text.alias("value"))
 
     def pieces(line: Column, at: Column) -> Column:
-        return F.transform(strings.wrap(line, most), lambda p, i: F.when((at == 0) & (i == 0), row(level, tag, p)).otherwise(row(level + 1, F.when(i == 0, "CONT").otherwise("CONC"), p)))
+        return F.transform(F.array(line) if most is None else strings.wrap(line, most), lambda p, i: F.when((at == 0) & (i == 0), row(level, tag, p)).otherwise(row(level + 1, F.when(i == 0, "CONT").otherwise("CONC"), p)))
 
     return F.flatten(F.transform(strings.split_lines(value), pieces))
 
