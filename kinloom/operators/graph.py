@@ -1,54 +1,53 @@
 """Reachability by generations (GRAPH-01 to GRAPH-08).
 
-A generation is one join of the frontier with the edges. Each new generation is checkpointed in the shared folder, so lineage does not grow
-and a lost executor costs one generation; what was reached before is anti-joined, so cycles end. The number of jobs is the number of
-generations, the rows shuffled in one are those of its frontier and of what was reached.
+A generation is one join of the frontier with the edges. Each new generation is written to the shared folder, so lineage does not grow
+and a lost executor costs one generation; what was reached before is one table of these files and is anti-joined, so cycles end. The number of
+jobs is that of the generations, the rows shuffled in one are those of its frontier and of what was reached.
 """
 
 from __future__ import annotations
 
-import tempfile
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinloom.functions import strings
-
-
-def checkpointed(rows: DataFrame) -> DataFrame:
-    """`rows` written to the folder that spark.checkpoint.dir names; a folder of its own only where none is set."""
-    spark: SparkSession = rows.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kinloom-"))
-    return rows.checkpoint(eager=True)
+from kinloom.shipping import fresh_path, written
 
 
 def reach(edges: DataFrame, seeds: DataFrame, ordered: bool = False) -> DataFrame:
-    """GRAPH-01 to GRAPH-04, GRAPH-06: (doc_id, seed, node, depth) of every node that (doc_id, seed) reaches over (src, dst).
+    """GRAPH-01, GRAPH-02, GRAPH-06: (doc_id, seed, node, depth) of every node that (doc_id, seed) reaches over (src, dst).
 
     A seed is not among its own results, even on a cycle; each node has its least depth. With `ordered`, edges have an `ord` array, and `path`
     sorts the nodes of one depth in the order in which a breadth-first walk discovers them.
     """
+    spark: SparkSession = edges.sparkSession
     keep = ["doc_id", "src", "dst", "ord"] if ordered else ["doc_id", "src", "dst"]
     links = edges.select(*keep).where("src != dst")
-    links = checkpointed(links if ordered else links.distinct())
+    links = written(links if ordered else links.distinct(), "links").withColumnRenamed("src", "node")
     start = seeds.select("doc_id", "seed").distinct().withColumn("node", F.col("seed")).withColumn("depth", F.lit(0))
-    frontier = checkpointed(start.withColumn("path", F.array().cast("array<int>")) if ordered else start)
-    reached = [frontier]
-    while True:
-        step = frontier.join(links.withColumnRenamed("src", "node"), ["doc_id", "node"]).drop("node").withColumnRenamed("dst", "node")
+    start = start.withColumn("path", F.array().cast("array<int>")) if ordered else start
+    folder, done = fresh_path(spark, "reach"), []
+
+    def put(rows: DataFrame) -> DataFrame:
+        done.append(f"{folder}/{len(done)}")
+        rows.write.parquet(done[-1])
+        return spark.read.schema(start.schema).parquet(done[-1])
+
+    frontier = put(start)
+    while not frontier.isEmpty():
+        step = frontier.join(links, ["doc_id", "node"]).drop("node").withColumnRenamed("dst", "node")
         keys = step.groupBy("doc_id", "seed", "node")
         found = keys.agg(F.min(F.concat("path", "ord")).alias("path")) if ordered else keys.agg(F.lit(1).alias("__one")).drop("__one")
-        before = reduce(DataFrame.unionAll, [r.select("doc_id", "seed", "node") for r in reached])
-        new = found.join(before, ["doc_id", "seed", "node"], "left_anti").withColumn("depth", F.lit(len(reached)))
-        columns = ["doc_id", "seed", "node", "depth", *(["path"] if ordered else [])]
-        frontier = checkpointed(new.select(*columns))
-        if frontier.isEmpty():
-            break
-        reached.append(frontier)
-    return reduce(DataFrame.unionAll, [r.select(*columns) for r in reached]).where("depth > 0")
+        before = spark.read.schema(start.schema).parquet(*done).select("doc_id", "seed", "node")
+        new = found.join(before, ["doc_id", "seed", "node"], "left_anti").withColumn("depth", F.lit(len(done)))
+        frontier = put(new.select(start.columns))
+    return spark.read.schema(start.schema).parquet(*done).where("depth > 0")
+
+
+def reached_people(edges: DataFrame, seeds: DataFrame, people: DataFrame, ordered: bool = False) -> DataFrame:
+    """GRAPH-03, GRAPH-04: the rows of `people` that a seed reaches, with seed, depth and, if `ordered`, path; unknown people are left out."""
+    found = reach(edges, seeds, ordered).withColumnRenamed("node", "xref")
+    return found.join(people, ["doc_id", "xref"])
 
 
 def closure(references: DataFrame, declared: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -5,10 +5,11 @@ Mappings are tables and are applied by joins, so their size does not matter.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinloom.functions import strings
+from kinloom.sources import tagged
 
 #: Rows that one task numbers; numbering runs within blocks of this many places and then adds the blocks before.
 BLOCK = 100_000
@@ -62,6 +63,68 @@ def remap(rows: DataFrame, mapping: DataFrame, *columns: str) -> DataFrame:
     return rows
 
 
+def apply_mapping(records: DataFrame, mapping: DataFrame) -> DataFrame:
+    """MERGE-02: records with the identifiers of a mapping (doc_id, old, new) replaced on record lines and in every value that is a pointer.
+
+    One pass, so a new identifier is not replaced again, and no text is rewritten. Only the pointers of a record that the mapping has travel
+    through the join, and come back as one map for each record.
+    """
+    used = records.select("doc_id", "rec_no", F.explode(F.array_distinct(F.flatten(F.transform("tags", lambda t: F.array(t["xref"], strings.trim_space(t["value"])))))).alias("old"))
+    met = used.where(strings.is_pointer(F.col("old"))).join(mapping, ["doc_id", "old"])
+    maps = met.groupBy("doc_id", "rec_no").agg(F.map_from_entries(F.collect_list(F.struct("old", "new"))).alias("__new"))
+    joined = records.join(maps, ["doc_id", "rec_no"], "left")
+
+    def renamed(t: Column) -> Column:
+        of = lambda x: F.coalesce(F.try_element_at(F.col("__new"), x), t["value"])
+        value = F.when(strings.is_pointer(strings.trim_space(t["value"])), of(strings.trim_space(t["value"]))).otherwise(t["value"])
+        own = {"xref": F.coalesce(F.try_element_at(F.col("__new"), t["xref"]), t["xref"]), "value": value}
+        return F.struct(*(own.get(n, t[n]).alias(n) for n in ("line_number", "level", "xref", "tag", "value", "code", "message")))
+
+    changed = joined.withColumns({"tags": F.when(F.col("__new").isNull(), F.col("tags")).otherwise(F.transform("tags", renamed)), "xref": F.coalesce(F.try_element_at("__new", F.col("xref")), "xref")})
+    return changed.select(records.columns)
+
+
+class IncompatibleHeaders(ValueError):
+    """Two sets of records state different versions or encodings."""
+
+
+class Collision(ValueError):
+    """Two sets of records share identifiers, and no strategy says what to do."""
+
+
+def combine(first: DataFrame, second: DataFrame, strategy: str = "error", prefix: str = "") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """SET-01, MERGE-03, MERGE-06: (records, mapping, conflicts) of the second document put behind the first one.
+
+    `strategy` says what becomes of identifiers of the second that the first has: "error", "prefix" or "renumber". Both headers must state the
+    same version and encoding, where both state one. The first one's header values win, the second's tags come behind its own.
+    """
+    heads = [tagged.header(x).join(tagged.detect_version(x), "doc_id") for x in (first, second)]
+    stated = [h.select("version", "encoding").first() for h in heads]
+    for field in ("version", "encoding"):
+        if all(stated) and stated[0][field] and stated[1][field] and stated[0][field] != stated[1][field]:
+            raise IncompatibleHeaders(f"{field}: {stated[0][field]} and {stated[1][field]}")
+    names = [x.where("xref != ''").select("xref", F.col("rec_no").cast("long").alias("place")) for x in (first, second)]
+    colliding = collisions(*names)
+    if strategy == "error":
+        if shared := colliding.limit(10).collect():
+            raise Collision("both have " + ", ".join(r.xref for r in shared))
+        mapping = colliding.select(F.col("xref").alias("old"), F.col("xref").alias("new"))
+    elif strategy == "prefix":
+        mapping = checked(prefixed(colliding, prefix), names[0].unionByName(names[1]))
+    elif strategy == "renumber":
+        mapping = checked(renumbered(*names, colliding), names[0].unionByName(names[1]))
+    else:
+        raise ValueError(f"unknown strategy {strategy}")
+    name, last = first.agg(F.coalesce(F.min("doc_id"), F.lit("")), F.coalesce(F.max("rec_no"), F.lit(0))).first()
+    moved = apply_mapping(second.withColumn("doc_id", F.lit(name)), mapping.select(F.lit(name).alias("doc_id"), "old", "new"))
+    behind = moved.where("type NOT IN ('HEAD', 'TRLR')").withColumn("rec_no", F.col("rec_no") + F.lit(last + 1)).select(first.columns)
+    more = moved.where("type = 'HEAD'").limit(1).select("doc_id", F.slice("tags", F.lit(2), F.greatest(F.size("tags") - 1, F.lit(0))).alias("__more"))
+    own = first.where("type = 'HEAD'").join(F.broadcast(more), "doc_id", "left").withColumn("tags", F.concat("tags", F.coalesce("__more", F.array().cast(first.schema["tags"].dataType)))).select(first.columns)
+    fields = ["version", "encoding", "source_system", "language", "copyright", "tree_id"]
+    conflicts = merged_headers(heads[0], heads[1], fields)[1]
+    return own.unionByName(first.where("type NOT IN ('HEAD', 'TRLR')")).unionByName(behind), mapping, conflicts
+
+
 def merged_headers(first: DataFrame, second: DataFrame, fields: list[str]) -> tuple[DataFrame, DataFrame]:
     """MERGE-06 to MERGE-08: the header of one row with the first's values where it has any, and (field, kept, dropped) of conflicts."""
     one = lambda rows, side: rows.limit(1).select(F.lit(1).alias("__one"), *(F.col(f).alias(f"{side}_{f}") for f in fields))

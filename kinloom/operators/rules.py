@@ -6,6 +6,7 @@ matter. `people` is (doc_id, xref, sex, birth, death), births and deaths being d
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 
 from kinloom.functions import dates, strings
 from kinloom.operators import kin
-from kinloom.operators.graph import checkpointed
-from kinloom.sources import entities
+from kinloom.shipping import written
+from kinloom.sources import entities, tagged
 
 ERROR, WARNING, INFO = "ERROR", "WARNING", "INFO"
 # Limits of the age rules, of identifiers' length and of the duplicate score.
@@ -30,6 +31,19 @@ VENDOR_TAGS = {
 }
 
 
+@dataclass(frozen=True)
+class Limits:
+    """VAL-10: the limits of the age rules; 0 stands for the usual one."""
+
+    max_age: int = 0
+    min_parent_age: int = 0
+    max_mother_age: int = 0
+    max_father_age: int = 0
+
+    def usual(self) -> Limits:
+        return Limits(self.max_age or MAX_AGE, self.min_parent_age or MIN_PARENT_AGE, self.max_mother_age or MAX_MOTHER_AGE, self.max_father_age or MAX_FATHER_AGE)
+
+
 def issue(rows: DataFrame, severity: str | Column, code: str | Column, record: str, related: str | None = None, **details: Column) -> DataFrame:
     pairs = [x for name, value in details.items() for x in (F.lit(name), value.cast("string"))]
     made = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
@@ -45,21 +59,23 @@ def _dated(d: Column) -> Column:
     return F.coalesce(d["year"] != 0, F.lit(False))
 
 
-def own_dates(people: DataFrame) -> DataFrame:
-    """VAL-05 and VAL-08: death before birth, and lives longer than MAX_AGE."""
+def own_dates(people: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
+    """VAL-05 and VAL-08: death before birth, and lives longer than the limit."""
+    most = limits.usual().max_age
     birth, death = F.col("birth"), F.col("death")
     both = people.where(_dated(birth) & _dated(death))
     age = dates.years_between(birth, death)["years"]
     return issue(both.where(dates.is_before(death, birth)), ERROR, "DEATH_BEFORE_BIRTH", "xref", birth_date=birth["original"], death_date=death["original"]).unionByName(
-        issue(both.where(age > MAX_AGE), WARNING, "IMPOSSIBLE_AGE", "xref", age=age, max_age=F.lit(MAX_AGE), birth_date=birth["original"], death_date=death["original"])
+        issue(both.where(age > most), WARNING, "IMPOSSIBLE_AGE", "xref", age=age, max_age=F.lit(most), birth_date=birth["original"], death_date=death["original"])
     )
 
 
-def parents_dates(edges: DataFrame, people: DataFrame) -> DataFrame:
+def parents_dates(edges: DataFrame, people: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
     """VAL-06 and VAL-09: children born before a parent (over FAMC), parents too young or too old (over FAMS and CHIL).
 
     Births travel through two equality joins; people without a year of birth leave before them.
     """
+    limits = limits.usual()
     dated = people.where(_dated(F.col("birth")))
     born = lambda name: dated.select("doc_id", F.col("xref").alias(name), F.col("birth").alias(f"{name}_birth"))
     up = kin.parents(edges, people).join(born("person"), ["doc_id", "person"]).join(born("parent"), ["doc_id", "parent"])
@@ -67,8 +83,8 @@ def parents_dates(edges: DataFrame, people: DataFrame) -> DataFrame:
     old = dated.select("doc_id", F.col("xref").alias("person"), F.col("birth").alias("person_birth"), "sex")
     down = kin.children(edges, people).join(old, ["doc_id", "person"]).join(born("child"), ["doc_id", "child"])
     aged = down.withColumn("age", dates.years_between(F.col("person_birth"), F.col("child_birth"))["years"])
-    limit = F.when(F.col("sex") == "F", MAX_MOTHER_AGE).otherwise(MAX_FATHER_AGE)
-    young = issue(aged.where(F.col("age") < MIN_PARENT_AGE), WARNING, "UNREASONABLE_PARENT_AGE", "person", "child", parent_age=F.col("age"), min_age=F.lit(MIN_PARENT_AGE))
+    limit = F.when(F.col("sex") == "F", limits.max_mother_age).otherwise(limits.max_father_age)
+    young = issue(aged.where(F.col("age") < limits.min_parent_age), WARNING, "UNREASONABLE_PARENT_AGE", "person", "child", parent_age=F.col("age"), min_age=F.lit(limits.min_parent_age))
     late = issue(aged.where(F.col("age") > limit), WARNING, "UNREASONABLE_PARENT_AGE", "person", "child", parent_age=F.col("age"), max_age=limit)
     return _all([early, young, late])
 
@@ -101,14 +117,26 @@ def required_fields(records: DataFrame) -> DataFrame:
     return issue(records.where((F.col("type") == "INDI") & ~has("NAME")), ERROR, "MISSING_REQUIRED_FIELD", "xref").unionByName(issue(records.where((F.col("type") == "FAM") & ~has("HUSB", "WIFE", "CHIL")), ERROR, "EMPTY_FAMILY", "xref"))
 
 
-def long_xrefs(declared: DataFrame) -> DataFrame:
-    """VAL-19: distinct identifiers of more than MAX_XREF_BYTES bytes between their signs."""
+def _of_version(rows: DataFrame, headers: DataFrame | None, wanted: Column) -> DataFrame:
+    return rows if headers is None else rows.join(headers.where(wanted).select("doc_id").distinct(), "doc_id", "left_semi")
+
+
+def missing_submitter(headers: DataFrame, compat: bool = False) -> DataFrame:
+    """VAL-11: `headers` is (doc_id, version, submitter): versions before 7.0 need a submitter. With `compat` none counts as stated."""
+    bad = headers.where(F.col("version").isin("5.5", "5.5.1") & (F.lit(compat) | (F.col("submitter") == ""))).withColumn("xref", F.lit(""))
+    return issue(bad, WARNING, "MISSING_SUBM", "xref", version=F.col("version"))
+
+
+def long_xrefs(declared: DataFrame, headers: DataFrame | None = None) -> DataFrame:
+    """VAL-19: distinct identifiers of more than MAX_XREF_BYTES bytes between their signs, but in documents of version 7.0 if `headers` tells."""
+    declared = _of_version(declared, headers, F.col("version") != "7.0")
     size = F.octet_length(F.regexp_replace("xref", "^@+|@+$", ""))
     return issue(declared.select("doc_id", "xref").distinct().where(size > MAX_XREF_BYTES), WARNING, "XREF_TOO_LONG", "xref", length=size)
 
 
-def control_characters(values: DataFrame) -> DataFrame:
-    """VAL-21: `values` is (doc_id, xref, value); the first control character of each value."""
+def control_characters(values: DataFrame, headers: DataFrame | None = None) -> DataFrame:
+    """VAL-21: `values` is (doc_id, xref, value); the first control character of each value, in documents of version 7.0 only if `headers` tells."""
+    values = _of_version(values, headers, F.col("version") == "7.0")
     at = strings.control_position(F.col("value"))
     return issue(values.where(at.isNotNull()), ERROR, "BANNED_CONTROL_CHARACTER", "xref", position=at)
 
@@ -128,6 +156,14 @@ def registry(*vendors: str) -> list[tuple[str, tuple[str, ...], str | None]]:
     return sorted(merged.values())
 
 
+def register(rules: list[tuple[str, tuple[str, ...], str | None]], *batch: tuple[str, tuple[str, ...], str | None]) -> list[tuple[str, tuple[str, ...], str | None]]:
+    """VAL-14: the rules and a batch of more; a tag that comes twice is an error, and then nothing of the batch is registered."""
+    names = [tag for tag, _, _ in (*rules, *batch)]
+    if twice := sorted({n for n in names if names.count(n) > 1}):
+        raise ValueError("registered twice: " + ", ".join(twice))
+    return sorted((*rules, *batch))
+
+
 def check_tag(tag: Column, parent: Column, value: Column, rules: list[tuple[str, tuple[str, ...], str | None]], report_unknown: bool = False) -> Column:
     """VAL-12, VAL-13: the code of what is wrong with an own tag, null for nothing; the parent is looked at before the value."""
     found = F.when(F.lit(report_unknown) & F.startswith(tag, F.lit("_")), "UNKNOWN_CUSTOM_TAG")
@@ -156,7 +192,8 @@ def custom_tags(records: DataFrame, rules: list[tuple[str, tuple[str, ...], str
     zipped = kept.select("doc_id", "xref", "tags", with_parents(F.col("tags")).alias("above")).select("doc_id", "xref", F.posexplode("tags").alias("i", "t"), "above")
     named = zipped.select("doc_id", "xref", F.col("t.tag").alias("tag"), F.col("t.value").alias("value"), F.get("above", F.col("i")).alias("parent")).where("startswith(tag, '_')")
     checked = named.withColumn("code", check_tag(F.col("tag"), F.col("parent"), F.col("value"), rules, report_unknown)).where("code IS NOT NULL")
-    return issue(checked, WARNING, F.col("code"), "xref", tag=F.col("tag"), parent=F.col("parent"))
+    severity = F.when(F.col("code") == "UNKNOWN_CUSTOM_TAG", WARNING).otherwise(ERROR)
+    return issue(checked, severity, F.col("code"), "xref", tag=F.col("tag"), parent=F.col("parent"))
 
 
 def duplicate_pairs(people: DataFrame, block: list[str]) -> DataFrame:
@@ -209,22 +246,127 @@ def shown(issues: DataFrame, strictness: str = "normal", skip: tuple[str, ...] =
     return kept.orderBy(rank, "code", "record_xref", "related_xref").limit(most)
 
 
-def validate_all(records: DataFrame, vendors: tuple[str, ...] = ()) -> DataFrame:
-    """VAL-01, VAL-25: all rules over the records of any number of documents.
+def legacy(records: DataFrame) -> DataFrame:
+    """VAL-02: the short validation: broken references and required fields."""
+    return broken_references(records).unionByName(required_fields(records))
 
-    People, references and marriages are checkpointed before the rules read them: each is used by several rules, and a predicate over a
-    date would otherwise be pushed below its parsing, which repeats the parser for every mention of the date.
+
+def dated_people(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(people, marriages): slim people with birth and death, and (doc_id, family, marriage), all written to the shared folder.
+
+    Every different date text is parsed once, in a table of its own that people and marriages are joined to: no plan holds the parser more
+    than once, and no predicate over a date is pushed below it.
     """
+    text = lambda kind: F.coalesce(F.get(F.filter("events", lambda e: e["type"] == kind), F.lit(0))["date"], F.lit(""))
     own = F.get("names", F.lit(0))
-    name = F.struct(strings.normalize_name(own["given"]).alias("given"), strings.normalize_name(own["surname"]).alias("surname"))
-    people = checkpointed(entities.individuals(records).select("doc_id", "xref", "line_number", "sex", "birth", "death", name.alias("name")))
-    edges = checkpointed(entities.edges(records))
-    marriages = checkpointed(entities.families(records).select("doc_id", F.col("xref").alias("family"), F.explode("marriages").alias("marriage")))
-    declared = records.where("xref != ''").select("doc_id", "xref", "type")
-    named = people.select("doc_id", "xref", "line_number", "sex", F.col("birth.year").alias("year"), F.coalesce("name.given", F.lit("")).alias("given"), F.coalesce("name.surname", F.lit("")).alias("surname"))
+    people = entities.undated(records).select(
+        "doc_id", "xref", "line_number", "sex", F.coalesce(own["given"], F.lit("")).alias("given"), F.coalesce(own["surname"], F.lit("")).alias("surname"), text("BIRT").alias("birth_text"), text("DEAT").alias("death_text"),
+        F.size("names").alias("n_names"), F.size("citations").alias("n_citations"), F.exists("events", lambda e: e["place"] != "").alias("has_place"),
+    )
+    people = written(people, "people")
+    married = entities.undated_families(records).select("doc_id", F.col("xref").alias("family"), F.explode(F.filter("events", lambda e: (e["type"] == "MARR") & (e["date"] != ""))).alias("e"))
+    married = written(married.select("doc_id", "family", F.col("e.date").alias("text")), "marriages")
+    texts = people.select(F.explode(F.array("birth_text", "death_text")).alias("text")).unionAll(married.select("text")).where("text != ''").distinct()
+    parsed = written(texts.select("text", dates.parse_date(F.col("text")).alias("d")), "dates").where("d.error IS NULL")
+    for kind in ("birth", "death"):
+        people = people.join(parsed.select(F.col("text").alias(f"{kind}_text"), F.col("d").alias(kind)), f"{kind}_text", "left")
+    return written(people, "dated"), written(married.join(parsed, "text").select("doc_id", "family", F.col("d").alias("marriage")), "dated")
+
+
+def names_alike(people: DataFrame) -> DataFrame:
+    """VAL-22, VAL-24: issues of people who may be the same, with the confidence and its reasons."""
+    name = lambda c: strings.normalize_name(F.col(c))
+    named = people.select("doc_id", "xref", "line_number", "sex", F.col("birth.year").alias("year"), name("given").alias("given"), name("surname").alias("surname"))
     pairs = duplicate_pairs(named, ["doc_id", "surname"])
-    parts = [
-        own_dates(people), parents_dates(edges, people), marriages_before_birth(edges, people, marriages), typed_orphans(edges, declared), required_fields(records), long_xrefs(declared), custom_tags(records, registry(*vendors)),
-        issue(pairs, INFO, "POTENTIAL_DUPLICATE", "left", "right", confidence=F.format_string("%.2f", F.col("confidence"))),
-    ]
-    return _all(parts)
+    return issue(pairs, INFO, "POTENTIAL_DUPLICATE", "left", "right", confidence=F.format_string("%.2f", F.col("confidence")), reason_1=F.lit("same surname"), reason_2=F.lit("similar given names"))
+
+
+def incomplete(people: DataFrame) -> DataFrame:
+    """AGG-02: people without a birth date, without a source, without a name; a phrase counts as a date."""
+    lacks = ((F.col("birth").isNull(), "MISSING_BIRTH_DATE"), (F.col("n_citations") == 0, "NO_SOURCES"), (F.col("n_names") == 0, "MISSING_NAME"))
+    return _all([issue(people.where(test), INFO, code, "xref") for test, code in lacks])
+
+
+# The categories of the quality report.
+CATEGORIES = {
+    "date_logic": ("DEATH_BEFORE_BIRTH", "CHILD_BEFORE_PARENT", "MARRIAGE_BEFORE_BIRTH", "IMPOSSIBLE_AGE", "UNREASONABLE_PARENT_AGE"), "duplicate": ("POTENTIAL_DUPLICATE",),
+    "completeness": ("MISSING_BIRTH_DATE", "MISSING_DEATH_DATE", "MISSING_NAME", "NO_SOURCES"), "custom_tag": ("INVALID_TAG_PARENT", "INVALID_TAG_VALUE", "UNKNOWN_CUSTOM_TAG"),
+}
+
+
+def category(code: Column) -> Column:
+    found = F.when(F.startswith(code, F.lit("ORPHANED_")), "reference")
+    for name, codes in CATEGORIES.items():
+        found = found.when(code.isin(*codes), name)
+    return found
+
+
+def of_record(issues: DataFrame, xref: str) -> DataFrame:
+    """FLT-08: the issues that a record has or is related to."""
+    return issues.where((F.col("record_xref") == xref) | (F.col("related_xref") == xref))
+
+
+def by_code(issues: DataFrame, code: str) -> DataFrame:
+    """FLT-07."""
+    return issues.where(F.col("code") == code)
+
+
+# What issues say.
+MESSAGES = {
+    "DEATH_BEFORE_BIRTH": "death is before birth", "IMPOSSIBLE_AGE": "age is beyond the limit", "CHILD_BEFORE_PARENT": "child is born before parent", "MARRIAGE_BEFORE_BIRTH": "marriage is before birth",
+    "UNREASONABLE_PARENT_AGE": "age of the parent is unreasonable", "POTENTIAL_DUPLICATE": "may be the same person", "MISSING_BIRTH_DATE": "individual has no birth date recorded", "NO_SOURCES": "individual has no source citations",
+    "MISSING_NAME": "individual has no name recorded", "MISSING_SUBM": "the header needs a submitter", "XREF_TOO_LONG": "identifier is too long", "BROKEN_XREF": "reference to a missing record",
+}
+
+
+def rendered(issues: DataFrame) -> DataFrame:
+    """STR-27: (doc_id, text): `[SEVERITY] CODE: message (record -> related)`; codes without a message say their own words."""
+    table = F.create_map(*(F.lit(x) for pair in MESSAGES.items() for x in pair))
+    message = F.coalesce(F.try_element_at(table, F.col("code")), F.lower(F.replace("code", F.lit("_"), F.lit(" "))))
+    related = F.when(F.col("related_xref") != "", F.concat(F.lit(" -> "), "related_xref")).otherwise("")
+    place = F.when(F.col("record_xref") != "", F.concat(F.lit(" ("), "record_xref", related, F.lit(")"))).otherwise("")
+    return issues.select("doc_id", F.concat(F.lit("["), "severity", F.lit("] "), "code", F.lit(": "), message, place).alias("text"))
+
+
+def _date_rules(edges: DataFrame, people: DataFrame, marriages: DataFrame, limits: Limits) -> list[DataFrame]:
+    return [own_dates(people, limits), parents_dates(edges, people, limits), marriages_before_birth(edges, people, marriages)]
+
+
+def validate_all(records: DataFrame, vendors: tuple[str, ...] | None = None, strictness: str = "strict", skip: tuple[str, ...] = (), most: int | None = None, limits: Limits = Limits(), compat: bool = False) -> DataFrame:  # noqa: B008
+    """VAL-01, VAL-25: header, date, reference, identifier, duplicate and encoding rules over documents of any number, and the rules of
+    vendors' tags if vendors are named (an empty tuple names all); then what `shown` leaves.
+    """
+    people, marriages = dated_people(records)
+    edges = written(entities.edges(records), "edges")
+    headers = written(tagged.header(records).join(tagged.detect_version(records), "doc_id").select("doc_id", "version", "encoding", "submitter"), "headers")
+    declared = records.where("xref != ''").select("doc_id", "xref", "type")
+    values = records.select("doc_id", "xref", F.explode("tags").alias("t")).select("doc_id", "xref", F.col("t.value").alias("value")).where("value != ''")
+    parts = [missing_submitter(headers, compat), *_date_rules(edges, people, marriages, limits), typed_orphans(edges, declared), long_xrefs(declared, headers), names_alike(people)]
+    parts += [custom_tags(records, registry(*vendors))] if vendors is not None else []
+    return shown(_all([*parts, encoding_of_version(headers), control_characters(values, headers)]), strictness, skip, most)
+
+
+def quality(records: DataFrame, vendors: tuple[str, ...] | None = None, limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:  # noqa: B008
+    """AGG-01 to AGG-03, AGG-06: (report, issues): one row of counts and shares for each document, and all issues with their category.
+
+    A share is 0 where there are no people. The issues of the report are the second table, which has no bound.
+    """
+    people, marriages = dated_people(records)
+    edges = written(entities.edges(records), "edges")
+    declared = records.where("xref != ''").select("doc_id", "xref", "type")
+    parts = [*_date_rules(edges, people, marriages, limits), typed_orphans(edges, declared), names_alike(people), incomplete(people)]
+    parts += [custom_tags(records, registry(*vendors))] if vendors is not None else []
+    issues = written(_all(parts).withColumn("category", category(F.col("code"))), "issues")
+    has = lambda name, test: F.count_if(test).alias(name)
+    records_of = records.groupBy("doc_id").agg(has("total_individuals", F.col("type") == "INDI"), has("total_families", F.col("type") == "FAM"), has("total_sources", F.col("type") == "SOUR"))
+    filled = people.groupBy("doc_id").agg(has("individuals_with_birth_date", F.col("birth").isNotNull()), has("individuals_with_death_date", F.col("death").isNotNull()), has("individuals_with_sources", F.col("n_citations") > 0), has("individuals_with_places", F.col("has_place")))
+    said = issues.groupBy("doc_id").agg(F.count("*").alias("total_issues"), *(has(f"{n}_count", F.col("severity") == s) for n, s in (("error", ERROR), ("warning", WARNING), ("info", INFO))), *(has(f"{n}_issues", F.col("category") == n) for n in ("reference", *CATEGORIES)))
+    joined = records_of.join(filled, "doc_id", "left").join(said, "doc_id", "left")
+    joined = joined.na.fill(0)
+    share = lambda c: F.coalesce(F.try_divide(F.col(c), F.col("total_individuals")), F.lit(0.0))
+    return joined.withColumns({"birth_date_coverage": share("individuals_with_birth_date"), "death_date_coverage": share("individuals_with_death_date"), "source_coverage": share("individuals_with_sources")}), issues
+
+
+def as_json(report: DataFrame) -> DataFrame:
+    """STR-26: (doc_id, report): the row of `quality` as JSON."""
+    return report.select("doc_id", F.to_json(F.struct(*(c for c in report.columns if c != "doc_id"))).alias("report"))

@@ -29,6 +29,16 @@ def read_texts(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return named.select("doc_id", charset.decode(F.col("content"), F.col("encoding")).alias("text"), "encoding")
 
 
+def text_faults(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """SRC-11: (doc_id, line, severity, code, message) of the files under `path` that are not valid in their encoding, which have no records."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    named = files.select(F.col("path").alias("doc_id"), "content", charset.encoding(F.col("content")).alias("encoding"))
+    bad = named.where(charset.decode(F.col("content"), F.col("encoding")).isNull()).select("doc_id", "encoding", charset.invalid_position(F.col("content")).alias("at"))
+    said = F.when((F.col("encoding") == "UTF-8") & F.col("at").isNotNull(), F.format_string("invalid UTF-8 at column %d", F.col("at.column"))).otherwise(F.concat(F.lit("invalid "), "encoding"))
+    line = F.when(F.col("encoding") == "UTF-8", F.col("at.line").cast("long"))
+    return bad.select("doc_id", line.alias("line"), F.lit("ERROR").alias("severity"), F.lit("INVALID_ENCODING").alias("code"), said.alias("message"))
+
+
 def records_of(texts: DataFrame) -> DataFrame:
     """SRC-13 to SRC-20, WIN-01, WIN-03: one row for each record of (doc_id, text).
 
@@ -70,6 +80,14 @@ def diagnostics_of(records: DataFrame) -> DataFrame:
     return faults.unionByName(jumps)
 
 
+def first_faults(diagnostics: DataFrame, most: int = 0) -> DataFrame:
+    """SRC-16: at most `most` errors of each document in order of their lines, all for 0 or less; warnings stay."""
+    if most <= 0:
+        return diagnostics
+    order = Window.partitionBy("doc_id", "severity").orderBy("line", "code")
+    return diagnostics.withColumn("__n", F.row_number().over(order)).where((F.col("severity") != "ERROR") | (F.col("__n") <= most)).drop("__n")
+
+
 def strict(records: DataFrame) -> DataFrame:
     """SRC-01, SRC-15: the records, with an error as soon as a line of theirs is faulty."""
     fault = F.get(F.filter("tags", lambda t: t["code"].isNotNull()), F.lit(0))
@@ -110,11 +128,11 @@ def detect_version(records: DataFrame) -> DataFrame:
 
 
 def header(records: DataFrame) -> DataFrame:
-    """SRC-36: (doc_id, encoding, language, copyright, source_system, tree_id, schema); the last value of each wins, absent: ''."""
+    """SRC-36: (doc_id, encoding, language, copyright, source_system, tree_id, submitter, schema); the last value of each wins, absent: ''."""
     tags = F.col("tags")
     last = lambda name, level=None: F.coalesce(F.try_element_at(F.filter(tags, lambda t: (t["tag"] == name) & (F.lit(True) if level is None else t["level"] == level)), F.lit(-1))["value"], F.lit(""))
     return records.where("type = 'HEAD'").select(
-        "doc_id", F.trim(last("CHAR")).alias("encoding"), last("LANG").alias("language"), last("COPR").alias("copyright"), last("SOUR", 1).alias("source_system"), last("_TREE", 2).alias("tree_id"), schema_of(tags).alias("schema")
+        "doc_id", F.trim(last("CHAR")).alias("encoding"), last("LANG").alias("language"), last("COPR").alias("copyright"), last("SOUR", 1).alias("source_system"), last("_TREE", 2).alias("tree_id"), F.trim(last("SUBM", 1)).alias("submitter"), schema_of(tags).alias("schema")
     )
 
 
@@ -132,6 +150,40 @@ def build_index(records: DataFrame) -> DataFrame:
     return keyed.groupBy("doc_id", "key", "by_type").agg(last).select("doc_id", "key", "by_type", "r.*")
 
 
+INDEX_VERSION = 1
+
+
+def save_index(index: DataFrame, path: str) -> None:
+    """SRC-28: writes an index, sorted by key so that lookups read few row groups, and the version of its form."""
+    index.repartitionByRange("key").sortWithinPartitions("key", "doc_id").write.mode("overwrite").parquet(f"{path}/index")
+    index.sparkSession.range(1).select(F.lit(INDEX_VERSION).alias("version")).write.mode("overwrite").parquet(f"{path}/version")
+
+
+def load_index(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-28: an index that `save_index` wrote; an error if its form has another version."""
+    found = spark.read.parquet(f"{path}/version").first()
+    if found is None or found.version != INDEX_VERSION:
+        raise ValueError(f"index version {found and found.version}, not {INDEX_VERSION}")
+    return spark.read.parquet(f"{path}/index")
+
+
+def from_offset(records: DataFrame, offset: int) -> DataFrame:
+    """SRC-31: the records that begin at or behind a byte offset of their document."""
+    return records.where(F.col("byte_offset") >= offset)
+
+
+def record_count(index: DataFrame) -> DataFrame:
+    """SRC-32: (doc_id, n): the entries of an index by document."""
+    return index.groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+def version_before(a: Column, b: Column) -> Column:
+    """SRC-34: whether a version is earlier than another one; false if either is unknown."""
+    known = F.array(*map(F.lit, ("5.5", "5.5.1", "7.0")))
+    x, y = F.array_position(known, a), F.array_position(known, b)
+    return F.coalesce((x > 0) & (y > 0) & (x < y), F.lit(False))
+
+
 def read_record(spark: SparkSession, index: DataFrame, key: str, by_type: bool = False) -> DataFrame:
     """SRC-24, SRC-25, SRC-29, SRC-30: the records that an index has under `key`, cut from UTF-8 files at their offsets.
 
