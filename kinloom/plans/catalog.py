@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kinloom.functions import calendars, dates, lines, strings
 from kinloom.operators import coverage, relations
-from kinloom.plans import family
+from kinloom.plans import family, grammar
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -104,11 +104,11 @@ ORACLES = {
 
 def queries() -> dict[str, Query]:
     found = (line_lex, date_parse, date_jdn, normalize_name, similarity, orphans_typed, reference_report, shared_keys, quality_report, issue_topk)
-    return {f.__name__: f for f in found} | family.queries()
+    return {f.__name__: f for f in found} | family.queries() | grammar.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES) | family.oracle_sql()
+    return dict(ORACLES) | family.oracle_sql() | grammar.oracle_sql()
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

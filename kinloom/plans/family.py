@@ -61,7 +61,7 @@ def tag_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
 def continuation_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-16 to STR-18, ENT-27: whole texts wrapped into tags and folded back."""
     tags = table(spark, sf_dir, "documents").select("doc_id", sinks.text_to_tags(F.coalesce("text", F.lit("")), 1, "NOTE").alias("t"))
-    longest = F.aggregate("t", F.lit(0), lambda m, x: F.greatest(m, F.length(x["value"])))
+    longest = F.aggregate("t", F.lit(0), lambda m, x: F.greatest(m, F.octet_length(x["value"])))
     return tags.select("doc_id", F.md5(sinks.fold(F.col("t"))).alias("text_md5"), (longest <= 248).alias("fits"))
 
 
@@ -204,9 +204,9 @@ def tag_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def media_type_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-20, STR-21, CONV-12."""
-    form = F.get(F.array(*map(F.lit, ("JPG", "pdf", "tiff", "wav", "image/x", "xyz"))), (F.col("doc_id") % 6).cast("int"))
+    form = F.get(F.array(*map(F.lit, ("JPG", "pdf", " tif ", "MPG", "image/x", "xyz", "video/mpeg", "TEXT"))), (F.col("doc_id") % 8).cast("int"))
     typed = table(spark, sf_dir, "documents").select("doc_id", strings.to_media_type(form).alias("media_type"))
-    return typed.withColumn("legacy", strings.to_legacy_media(F.col("media_type")))
+    return typed.withColumn("legacy", strings.to_legacy_media(F.col("media_type"))).withColumn("kept", strings.to_legacy_media(form))
 
 
 def registry_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,8 +277,8 @@ ORACLES = {
         FROM supplier WHERE s_suppkey IN (SELECT c_custkey FROM customer)""",
     "uppercase_ids": "SELECT DISTINCT p_name AS old, upper(p_name) AS new FROM part WHERE p_name <> upper(p_name)",
     "tag_loss": "SELECT event_type AS tag, count(*) AS n, count(DISTINCT user_id) AS records FROM events WHERE event_type IN ('click', 'view', 'purchase') GROUP BY event_type",
-    "media_type_map": """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'image/jpeg' WHEN 1 THEN 'application/pdf' WHEN 2 THEN 'image/tiff' WHEN 3 THEN 'audio/wav' WHEN 4 THEN 'image/x' ELSE '' END AS media_type,
-        CASE doc_id % 6 WHEN 0 THEN 'jpg' WHEN 1 THEN 'pdf' WHEN 2 THEN 'tif' WHEN 3 THEN 'wav' ELSE '' END AS legacy FROM documents""",
+    "media_type_map": """SELECT doc_id, ['image/jpeg', 'application/pdf', 'image/tiff', 'video/mpeg', 'image/x', '', 'video/mpeg', 'text/plain'][doc_id % 8 + 1] AS media_type,
+        ['JPG', 'PDF', 'TIFF', 'MPEG', '', '', 'MPEG', 'TXT'][doc_id % 8 + 1] AS legacy, ['JPG', 'pdf', ' tif ', 'MPG', '', 'xyz', 'MPEG', 'TEXT'][doc_id % 8 + 1] AS kept FROM documents""",
     "registry_check": """WITH e AS (SELECT event_id % 4 AS t, event_id % 3 AS p, event_id % 5 AS v FROM events)
         SELECT CASE WHEN t = 0 AND p <> 0 THEN 'INVALID_TAG_PARENT' WHEN t = 1 AND p <> 1 THEN 'INVALID_TAG_PARENT' WHEN t = 1 AND v >= 3 THEN 'INVALID_TAG_VALUE' WHEN t = 3 THEN 'UNKNOWN_CUSTOM_TAG' END AS code, count(*) AS n FROM e GROUP BY 1""",
     "issue_filters": f"SELECT severity, code, count(*) AS n FROM ({AGES}) WHERE code <> 'IMPOSSIBLE_AGE' GROUP BY ALL",
