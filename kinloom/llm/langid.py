@@ -23,6 +23,7 @@ FOLDS, HELD_OUT = 3, 1
 UNKNOWN = "und"
 BUCKETS = 4096
 CENTROIDS = 4
+BATCH = 256  # texts whose vectors are held at once
 SAMPLE_ROWS = 1_500  # for each language
 SAMPLE_CHARS = 32_000_000  # of all sampled texts together
 NEAR = 0.1  # the threshold where too few texts are labelled, and the least one
@@ -90,8 +91,8 @@ class Model:
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(language, cosine, whether it is rejected) of each text."""
         language, score, rejected = [], np.zeros(len(texts)), np.ones(len(texts), bool)
-        for at in range(0, len(texts), 1024):
-            part = texts[at : at + 1024]
+        for at in range(0, len(texts), BATCH):
+            part = texts[at : at + BATCH]
             if not self.languages:
                 language += [UNKNOWN] * len(part)
                 continue

@@ -29,8 +29,8 @@ CAPACITY = 2048
 END_ID = 0
 BUCKET_ROWS, BUCKETS = 128, 4096
 SHORT = 96
-PART = 1 << 22
-KEPT_WORDS = 1_000_000
+PART = 1 << 21
+KEPT_WORDS = 600_000
 LEARN_WORDS = 4_096
 MARK = "\x01"
 #: A sign before white space and behind a letter or digit begins a token of its own in the byte-level pattern.

@@ -23,6 +23,7 @@ FOLDS, HELD_OUT = 5, 0
 REJECT_BELOW = 0.3
 SAMPLE_ROWS = 3_000  # for each label
 SAMPLE_CHARS = 32_000_000  # of all sampled texts together
+POOLED = 1 << 18  # characters whose words are pooled at once
 BITS = 16
 SIZE = 32
 NONZERO = 4
@@ -65,7 +66,7 @@ class Pooled:
         """One row for each text; a text without words has zeros."""
         n = len(texts)
         sums, squares, rest = np.zeros((n, SIZE)), np.zeros((n, SIZE)), np.zeros((n, 4))
-        for part in parts(texts):
+        for part in parts(texts, POOLED):
             data, begins = joined(part)
             starts, by_hash, shape = word_rows(data)
             if not len(starts):
