@@ -196,38 +196,78 @@ def custom_tags(records: DataFrame, rules: list[tuple[str, tuple[str, ...], str
     return issue(checked, severity, F.col("code"), "xref", tag=F.col("tag"), parent=F.col("parent"))
 
 
-def duplicate_pairs(people: DataFrame, block: list[str]) -> DataFrame:
-    """JOIN-16, VAL-22, VAL-23: (block columns, left, right, confidence) of people who may be the same.
+def _described(people: DataFrame, block: list[str]) -> DataFrame:
+    return people.where((F.col("given") != "") & reduce(lambda a, b: a & b, [F.col(c) != "" for c in block]))
+
+
+def duplicate_classes(people: DataFrame, block: list[str]) -> DataFrame:
+    """(block columns, given, sex, year, first, class, members): people with one description, counted.
 
     `people` has xref, line_number, given (normalised), sex, year (null without a birth) and the block columns, the
-    normalised surname among them. Equal descriptions are counted once before they are paired, so a block costs the
-    square of its different given names and years, not of its rows; only the pairs that score are expanded to people.
-    Names of one pair differ in length by at most a fifth of the longer, which prunes before the edit distance is taken.
+    normalised surname among them; rows with an empty or null name or block have no class. `class` is the xref of the
+    class's first line, `first` that line; equal lines are told apart by xref. Null sexes are one value, and null years.
     """
-    described = people.where((F.col("given") != "") & reduce(lambda a, b: a & b, [F.col(c) != "" for c in block]))
-    key = [*block, "given", "sex", "year"]
-    classes = described.select(*key).distinct()
-    a, b = classes.alias("a"), classes.alias("b")
+    least = F.min(F.struct("line_number", "xref"))
+    rows = _described(people, block).groupBy(*block, "given", "sex", "year").agg(least.alias("__least"), F.count("*").alias("members"))
+    return rows.select(*block, "given", "sex", "year", F.col("__least.line_number").alias("first"), F.col("__least.xref").alias("class"), "members")
+
+
+def duplicate_members(people: DataFrame, classes: DataFrame, block: list[str]) -> DataFrame:
+    """(block columns, xref, line_number, first, class, members): every described person with their class."""
+    rows = _described(people, block).select(*block, "given", "sex", "year", "xref", "line_number")
+    on = [rows[c] == classes[c] for c in block] + [rows[c].eqNullSafe(classes[c]) for c in ("given", "sex", "year")]
+    return rows.join(classes, on).select(*(rows[c] for c in (*block, "xref", "line_number")), classes["first"], classes["class"], classes["members"])
+
+
+def duplicate_links(classes: DataFrame, block: list[str]) -> DataFrame:
+    """JOIN-16, VAL-22, VAL-23: (block columns, left, left_first, left_members, right, right_first, right_members, confidence): each
+    pair of classes whose people may be the same once, the one with the earlier first line on the left.
+
+    A class of several people that may be the same among themselves is linked with itself. With `duplicate_members` this is
+    the whole result, without all pairs of a group of copies. Different given names of a block are compared before sexes and years come in,
+    so a block costs the square of its names, not of its rows; names of one pair differ in length by at most a
+    fifth of the longer, which prunes before the edit distance is taken.
+    """
+    names = classes.select(*block, "given").distinct()
+    a, b = names.alias("a"), names.alias("b")
     same = reduce(lambda x, y: x & y, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in block])
     long, short = F.greatest(F.octet_length("a.given"), F.octet_length("b.given")), F.least(F.length("a.given"), F.length("b.given"))
     near = F.greatest(F.length("a.given"), F.length("b.given")) - short <= (1 - MIN_GIVEN_SIMILARITY) * long + 1e-9
-    met = a.join(b, same & near).select(*(F.col(f"a.{c}").alias(c) for c in block), *(F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in ("given", "sex", "year")))
-    alike = strings.similarity(F.col("a_given"), F.col("b_given"))
+    met = a.join(b, same & near & (F.col("a.given") <= F.col("b.given"))).select(*(F.col(f"a.{c}").alias(c) for c in block), F.col("a.given").alias("a_given"), F.col("b.given").alias("b_given"))
+    alike = met.withColumn("alike", strings.similarity(F.col("a_given"), F.col("b_given"))).where(F.col("alike") >= MIN_GIVEN_SIMILARITY)
+
+    def side(name: str) -> DataFrame:
+        return classes.select(*block, *(F.col(c).alias(f"{name}_{c}") for c in ("given", "sex", "year", "first", "class", "members")))
+
+    scored = alike.join(side("a"), [*block, "a_given"]).join(side("b"), [*block, "b_given"])
+    # the two ways round of one pair with equal names are one link; a class alone has no one to be the same as
+    a_end, b_end = (F.struct(*(F.col(f"{name}_{c}").alias(c) for c in ("first", "class", "members"))) for name in "ab")
+    itself = (a_end == b_end) & (F.col("a_given") == F.col("b_given")) & F.col("a_sex").eqNullSafe(F.col("b_sex")) & F.col("a_year").eqNullSafe(F.col("b_year"))
+    whole = lambda name: F.struct(f"{name}_first", f"{name}_class", f"{name}_sex", f"{name}_year")
+    once = (F.col("a_given") != F.col("b_given")) | (whole("a") < whole("b")) | (itself & (F.col("a_members") > 1))
     apart = F.abs(F.col("a_year") - F.col("b_year"))
     year = F.when(apart == 0, 0.2).when(apart <= MAX_YEAR_DIFFERENCE, 0.1).otherwise(0.0)
     sex = F.when((F.col("a_sex") != "") & (F.col("a_sex") == F.col("b_sex")), 0.1).otherwise(0.0)
-    scored = met.withColumn("alike", alike).where(F.col("alike") >= MIN_GIVEN_SIMILARITY).withColumn("confidence", F.lit(0.3) + 0.3 * F.col("alike") + year + sex).where(F.col("confidence") >= MIN_CONFIDENCE)
+    scored = scored.where(once).withColumn("confidence", F.lit(0.3) + 0.3 * F.col("alike") + year + sex).where(F.col("confidence") >= MIN_CONFIDENCE)
+    ends = scored.select(*block, F.least(a_end, b_end).alias("l"), F.greatest(a_end, b_end).alias("r"), "confidence")
+    out = [F.col(f"{end[0]}.{c}").alias(name) for end in ("left", "right") for c, name in (("class", end), ("first", f"{end}_first"), ("members", f"{end}_members"))]
+    return ends.select(*block, *out, "confidence")
 
-    def side(name: str, out: str) -> DataFrame:
-        return described.select(*block, *(F.col(c).alias(f"{name}_{c}") for c in ("given", "sex", "year")), F.col("xref").alias(out), F.col("line_number").alias(f"{out}_line"))
 
-    def joined(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
-        on = [left[c] == right[c] for c in block] + [left[f"{name}_{c}"].eqNullSafe(right[f"{name}_{c}"]) for c in ("given", "sex", "year")]
-        kept = [left[c] for c in left.columns] + [right[c] for c in right.columns if c not in left.columns]
-        return left.join(right, on).select(*kept)
+def duplicate_pairs(people: DataFrame, block: list[str]) -> DataFrame:
+    """(block columns, left, right, confidence): the links of `duplicate_links` expanded to people, for reports that name each pair.
 
-    pairs = joined(joined(scored, side("a", "left"), "a"), side("b", "right"), "b")
-    return pairs.where("left_line < right_line").select(*block, "left", "right", "confidence")
+    A group of n copies has n(n-1)/2 pairs; where that is too many, read links and members instead.
+    """
+    classes = duplicate_classes(people, block)
+    members = duplicate_members(people, classes, block).select(*block, "class", "first", "xref", "line_number")
+    side = lambda end: members.select(*block, F.col("class").alias(end), F.col("first").alias(f"{end}_first"), F.struct("line_number", "xref").alias(f"{end}_person"))
+    links = duplicate_links(classes, block)
+    pairs = links.join(side("left"), [*block, "left", "left_first"]).join(side("right"), [*block, "right", "right_first"])
+    l, r = F.col("left_person"), F.col("right_person")
+    itself = (F.col("left") == F.col("right")) & (F.col("left_first") == F.col("right_first"))
+    kept = F.when(itself, l["line_number"] < r["line_number"]).otherwise(l["line_number"] != r["line_number"])
+    return pairs.where(kept).select(*block, F.least(l, r)["xref"].alias("left"), F.greatest(l, r)["xref"].alias("right"), "confidence")
 
 
 def completeness(people: DataFrame) -> DataFrame:

@@ -154,6 +154,17 @@ def duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.duplicate_pairs(people, ["surname", "brand"]).select("left", "right", F.round("confidence", 6).alias("confidence"))
 
 
+def duplicate_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOIN-16, VAL-22, VAL-23: classes of parts with one description, and which of them may be the same."""
+    word = lambda c, n: F.split_part(c, F.lit(" "), F.lit(n))
+    people = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("xref"), F.col("p_partkey").alias("line_number"), word("p_name", 1).alias("given"), word("p_type", 1).alias("sex"), F.floor(F.col("p_size") / 4).alias("year"), word("p_name", 2).alias("surname"), F.col("p_brand").alias("brand")
+    )
+    block = ["surname", "brand"]
+    links = rules.duplicate_links(rules.duplicate_classes(people, block), block)
+    return links.select("left", "right", "left_members", "right_members", F.round("confidence", 6).alias("confidence"))
+
+
 def control_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """VAL-21, STR-28: a control character before every third text's first line end."""
     text = F.when(F.col("doc_id") % 3 == 0, F.replace(F.col("text"), F.lit("a"), F.lit("\x0b"))).otherwise(F.col("text"))
@@ -269,6 +280,10 @@ ORACLES = {
         m AS (SELECT a.k AS "left", b.k AS "right", CASE WHEN a.g = b.g THEN 1.0 ELSE 1 - levenshtein(a.g, b.g) / CAST(greatest(strlen(a.g), strlen(b.g)) AS DOUBLE) END AS sim, abs(a.y - b.y) AS d, a.x = b.x AS sx
         FROM p a JOIN p b ON a.s = b.s AND a.p_brand = b.p_brand AND a.k < b.k)
         SELECT "left", "right", round(c, 6) AS confidence FROM (SELECT *, CAST(0.3 AS DOUBLE) + 0.3 * sim + CASE WHEN d = 0 THEN CAST(0.2 AS DOUBLE) WHEN d <= 2 THEN 0.1 ELSE 0 END + CASE WHEN sx THEN CAST(0.1 AS DOUBLE) ELSE 0 END AS c FROM m WHERE sim >= 0.8) WHERE c >= 0.7""",
+    "duplicate_links": """WITH p AS (SELECT split_part(p_name, ' ', 1) AS g, split_part(p_name, ' ', 2) AS s, p_brand, CAST(floor(p_size / 4) AS BIGINT) AS y, split_part(p_type, ' ', 1) AS x, min(p_partkey) AS k, count(*) AS n FROM part GROUP BY ALL),
+        m AS (SELECT a.k AS "left", b.k AS "right", a.n AS left_members, b.n AS right_members, CASE WHEN a.g = b.g THEN 1.0 ELSE 1 - levenshtein(a.g, b.g) / CAST(greatest(strlen(a.g), strlen(b.g)) AS DOUBLE) END AS sim, abs(a.y - b.y) AS d, a.x = b.x AS sx
+        FROM p a JOIN p b ON a.s = b.s AND a.p_brand = b.p_brand AND (a.k < b.k OR (a.k = b.k AND a.n > 1)))
+        SELECT "left", "right", left_members, right_members, round(c, 6) AS confidence FROM (SELECT *, CAST(0.3 AS DOUBLE) + 0.3 * sim + CASE WHEN d = 0 THEN CAST(0.2 AS DOUBLE) WHEN d <= 2 THEN 0.1 ELSE 0 END + CASE WHEN sx THEN CAST(0.1 AS DOUBLE) ELSE 0 END AS c FROM m WHERE sim >= 0.8) WHERE c >= 0.7""",
     "control_chars": "SELECT doc_id, CAST(strlen(split_part(text, 'a', 1)) AS BIGINT) AS position FROM documents WHERE doc_id % 3 = 0 AND contains(text, 'a')",
     "xref_length": "SELECT DISTINCT url, CAST(strlen(trim(url, '@')) AS BIGINT) AS length FROM pages WHERE strlen(trim(url, '@')) > 20",
     "coordinates": """SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE -1 END * (CAST(c_custkey % 90 AS DOUBLE) + 0.5) AS lat, CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE -1 END * (CAST(c_custkey % 90 AS DOUBLE) + 0.5) AS long FROM customer""",
@@ -289,7 +304,7 @@ ORACLES = {
 
 def queries() -> dict[str, Query]:
     found = (
-        record_group, byte_index, level_clamp, tag_parent, continuation_fold, vendor_detect, age_rules, parents, spouses, children, members, descendants, ancestors, subset_closure, duplicates, control_chars,
+        record_group, byte_index, level_clamp, tag_parent, continuation_fold, vendor_detect, age_rules, parents, spouses, children, members, descendants, ancestors, subset_closure, duplicates, duplicate_links, control_chars,
         xref_length, coordinates, combine_prefix, combine_renumber, uppercase_ids, tag_loss, media_type_map, registry_check, issue_filters, roundtrip_diff, report_json,
     )
     return {f.__name__: f for f in found}
