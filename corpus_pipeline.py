@@ -25,7 +25,7 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that more than a tenth of a site's documents hold go; the documents stay, and n_chars is counted anew."""
+    """Lines that repeat on a site and that clearly more than `lines.RATIO` of its documents hold go; the documents stay, and n_chars is counted anew."""
     return lines.drop_boilerplate(docs).selectExpr("doc_id", "text", "lang", "source", "CAST(length(text) AS BIGINT) AS n_chars")
 
 
